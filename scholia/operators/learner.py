@@ -398,8 +398,11 @@ def _accept(parts: Iterator[pd.DataFrame], k: int, window: int) -> Iterator[pd.D
 def expire_stale(materials: DataFrame, as_of: str, minutes: int = 10, updated: str = "created_at") -> DataFrame:
     now = F.lit(as_of).cast("timestamp")
     stale = (F.col("status") == "processing") & (F.col(updated) < now - F.expr(f"INTERVAL {minutes} MINUTES"))
-    return materials.withColumn("status", F.when(stale, "failed").otherwise(F.col("status"))).withColumn(
-        updated, F.when(stale, now).otherwise(F.col(updated))
+    return materials.withColumns(
+        {
+            "status": F.when(stale, "failed").otherwise(F.col("status")),
+            updated: F.when(stale, now).otherwise(F.col(updated)),
+        }
     )
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalogue"]
+MODULES = ["catalogue", "learners", "corpus"]
 
 
 def load() -> None:

@@ -141,5 +141,8 @@ def sql(body: str, **extra: str) -> str:
     need(body, ())
     if not order:
         return body.strip()
-    heads = ",\n".join(f"{n} AS MATERIALIZED ({library[n]})" for n in order)
-    return f"WITH {heads}\n{body.strip()}"
+    recursive = [n for n in order if n in _WORD.findall(library[n])]
+    heads = ",\n".join(
+        f"{n} AS {'' if n in recursive else 'MATERIALIZED '}({library[n]})" for n in order
+    )
+    return f"WITH {'RECURSIVE ' if recursive else ''}{heads}\n{body.strip()}"

@@ -55,8 +55,7 @@ def compare(spark, fn, oracle: str, folder: str, con=None):
     odd = [(c, t) for c, t in zip(cols, types) if "HUGEINT" in t or "DECIMAL" in t]
     if len(got) != len(want):
         return False, f"rows {len(got)} != {len(want)}; {odd}", len(got), *took
-    for a, b in zip(got, want):
-        if a != b:
-            diff = [(c, x, y) for c, x, y in zip(got_cols, a, b) if x != y]
-            return False, f"first difference {diff}; {odd}"[:900], len(got), *took
+    if got != want:
+        mine, theirs = sorted(set(got) - set(want)), sorted(set(want) - set(got))
+        return False, f"{len(mine)} differ, first {got_cols}: {mine[:2]} != {theirs[:2]}; {odd}"[:900], len(got), *took
     return (not odd), f"types {odd}" if odd else "", len(got), *took
