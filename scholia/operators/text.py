@@ -67,16 +67,29 @@ def _grams(toks: Column, n: int) -> Column:
     return F.transform(kept, lambda g: F.struct(g["pos"].alias("pos"), F.array_join(g["words"], " ").alias("gram")))
 
 
-def ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """Counts per document of stop-word-free n-grams, with first position."""
+def gram_counts(docs: DataFrame, *sizes: int) -> DataFrame:
+    """(doc_id, gram, size, n, first_pos) for several gram sizes in one pass."""
     arrays = docs.select("doc_id", tx.tokens("text").alias("toks"))
+
+    def sized(n: int) -> Column:
+        return F.transform(
+            _grams(F.col("toks"), n),
+            lambda g: F.struct(g["pos"].alias("pos"), g["gram"].alias("gram"), F.lit(n).alias("size")),
+        )
+
+    grams = F.concat(*[sized(n) for n in sizes])
     return (
-        arrays.select("doc_id", F.explode(_grams(F.col("toks"), n)).alias("g"))
-        .groupBy("doc_id", F.col("g.gram").alias("gram"))
+        arrays.select("doc_id", F.explode(grams).alias("g"))
+        .groupBy("doc_id", F.col("g.gram").alias("gram"), F.col("g.size").alias("size"))
         .agg(F.count("*").alias("n"), F.min("g.pos").alias("first_pos"))
     )
 
 
+def ngrams(docs: DataFrame, n: int) -> DataFrame:
+    """Counts per document of stop-word-free n-grams, with first position."""
+    return gram_counts(docs, n).drop("size")
+
+
 def stem_forms(docs: DataFrame) -> DataFrame:
     """Per (doc, stem): count, first position, and the form used last."""
     surface = content_tokens(docs).groupBy("doc_id", "token").agg(
@@ -94,12 +107,10 @@ def keywords(docs: DataFrame, n: int = 10, corpus_idf: bool = False) -> DataFram
     ``corpus_idf``. A word is left out when a chosen phrase has its stem.
     """
     placed = by_document(docs)
-    two = ngrams(placed, 2).select("*", F.lit(2).alias("size"))
-    three = ngrams(placed, 3).select("*", F.lit(3).alias("size"))
     budget = -(-n // 2)
     best = W.partitionBy("doc_id").orderBy(F.desc("score"), "size", "first_pos")
     phrases = (
-        two.unionByName(three)
+        gram_counts(placed, 2, 3)
         .where(F.col("n") >= 2)
         .withColumn("score", (F.col("n") * F.col("size")).cast("double"))
         .withColumn("rank", F.row_number().over(best))
@@ -178,7 +189,7 @@ def phrase_chunk_array(col: str | Column, lo: int = 2, hi: int = 5) -> Column:
         tx.tokens(col),
         lambda w: F.when(tx.word_category(w).isin("noun", "adjective"), w).otherwise("|"),
     )
-    runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), F.trim)
+    runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r))
     size = lambda r: F.size(F.split(r, " "))
     return F.filter(runs, lambda r: (r != "") & (size(r) >= lo) & (size(r) <= hi))
 
@@ -390,7 +401,7 @@ def with_language(df: DataFrame) -> DataFrame:
     named = F.slice(F.filter("_r", lambda s: s["score"] > 2), 1, 3)
     lang = F.struct(
         F.coalesce(first["language"], F.lit("Unknown")).alias("language"),
-        F.coalesce(F.least(F.lit(1.0), first["ratio"] * 5), F.lit(0.0)).alias("confidence"),
+        F.when(first.isNotNull(), F.least(F.lit(1.0), first["ratio"] * 5)).otherwise(0.0).alias("confidence"),
         F.coalesce((second["score"] > first["score"] * 0.3) & (second["score"] > 5), F.lit(False)).alias(
             "is_multilingual"
         ),

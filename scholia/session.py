@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # may override everything except the time zone and ANSI mode.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
+    # A union of two coalesced shuffles must not pass for one co-located table.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
