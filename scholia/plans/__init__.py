@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalogue", "learners", "corpus"]
+MODULES = ["catalogue", "learners", "corpus", "study"]
 
 
 def load() -> None:
