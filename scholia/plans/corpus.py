@@ -155,14 +155,14 @@ def _(t: Catalog):
 
 
 CHUNKS = """
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) - 1 AS pos, string_agg(token, ' ' ORDER BY pos) AS phrase, count(*) AS size
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS nth, string_agg(token, ' ' ORDER BY pos) AS phrase, count(*) AS size
     FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM tagged WHERE category IN ('noun', 'adjective'))
     GROUP BY doc_id, g HAVING count(*) BETWEEN {lo} AND {hi}"""
 
 
 @register(
     "phrase_chunks",
-    sql("SELECT doc_id, pos, phrase FROM chunks", tagged=TAGGED, chunks=CHUNKS.format(lo=2, hi=5)),
+    sql("SELECT doc_id, nth - 1 AS pos, phrase FROM chunks", tagged=TAGGED, chunks=CHUNKS.format(lo=2, hi=5)),
 )
 def _(t: Catalog):
     return x.phrase_chunks(t.documents).withColumn("pos", F.col("pos").cast("long"))
@@ -354,7 +354,7 @@ def _cued(cues: list[str], longer: int) -> str:
     pattern = "(?i)" + "|".join(f"(?:{c})" for c in cues)
     return sql(f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS rank, sentence FROM sents
       JOIN (SELECT doc_id FROM docs WHERE length({duck.strip('text')}) >= 50) USING (doc_id)
-      WHERE regexp_matches(sentence, {q(pattern)}) AND length(sentence) > {longer} AND length(sentence) < 300 QUALIFY rank < 10""")
+      WHERE regexp_matches(sentence, {q(pattern)}) AND length(sentence) > {longer} AND length(sentence) < 300 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) <= 10""")
 
 
 @register("argument_sentences", _cued(x.ARGUMENT_CUES, 30))

@@ -344,10 +344,10 @@ def _(t: Catalog):
 
 
 @register("normalise_cards", sql("""
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS position, question, answer FROM (
+    SELECT doc_id, place AS position, question, answer FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS place, question, answer FROM (
       SELECT * FROM (SELECT conv_id // 2 AS doc_id, conv_id * 100 + turn AS position, """ + duck.strip("regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')") + """ AS question, role AS answer FROM conversations)
       WHERE question <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(question) ORDER BY position) = 1)
-    QUALIFY position < 3"""))
+    QUALIFY place < 3)"""))
 def _(t: Catalog):
     from scholia.operators.writes import normalise_cards
 
@@ -361,12 +361,13 @@ def _(t: Catalog):
 
 
 @register("normalise_quiz", sql("""
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS position, question, array_to_string(list_transform(kept, lambda z: z.v), '|') AS options,
+    SELECT doc_id, place AS position, question, options, correct_index FROM (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS place, question, array_to_string(list_transform(kept, lambda z: z.v), '|') AS options,
       CAST(greatest(coalesce(list_position(list_transform(kept, lambda z: z.i), want), 0) - 1, 0) AS INT) AS correct_index FROM (
       SELECT o_custkey AS doc_id, o_orderkey AS position, 'Q' || o_orderkey AS question, o_orderkey % 6 - 1 AS want,
         list_filter([{i: 0, v: trim(CASE WHEN o_orderkey % 3 = 0 THEN '  ' ELSE o_orderstatus END)}, {i: 1, v: o_orderpriority}, {i: 2, v: CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'x' END},
           {i: 3, v: CASE WHEN o_orderkey % 7 < 4 THEN NULL ELSE 'y' END}, {i: 4, v: 'z'}], lambda z: z.v IS NOT NULL AND z.v <> '')[1:4] AS kept FROM orders WHERE o_orderpriority IS NOT NULL)
-    WHERE len(kept) >= 2 QUALIFY position < 12"""))
+    WHERE len(kept) >= 2 QUALIFY place < 12)"""))
 def _(t: Catalog):
     from scholia.operators.writes import normalise_quiz
 
@@ -394,7 +395,7 @@ GRAPH = {
     "labels_": """
       SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS node FROM (
         SELECT doc_id, label, min(o) AS o FROM (
-          SELECT doc_id, keyword AS label, rank AS o FROM kw30 UNION ALL SELECT doc_id, phrase, 1000 + pos FROM chunks24 WHERE pos < 20)
+          SELECT doc_id, keyword AS label, rank AS o FROM kw30 UNION ALL SELECT doc_id, phrase, 1000 + nth FROM chunks24 WHERE nth <= 20)
         JOIN ready USING (doc_id) GROUP BY doc_id, label)""",
     "ready": f"SELECT doc_id FROM docs WHERE length({duck.strip('text')}) >= 50",
     "nodes": f"""
@@ -533,7 +534,7 @@ OVERLAP = """
 
 @register(
     "concept_overlap",
-    sql("SELECT id, other_id, array_to_string(list_sort(common), '|') AS overlap FROM overlaps", **REC, overlaps=OVERLAP),
+    sql("SELECT id, other_id, array_to_string(list_sort(common), '|') AS overlap FROM ov_pairs", **REC, ov_pairs=OVERLAP),
 )
 def _(t: Catalog):
     recs = r.similar_materials(_weights(t)).select("id", "other_id")
@@ -546,9 +547,9 @@ def _(t: Catalog):
         """SELECT id, other_id, concat_ws(' · ', CASE WHEN c1 = c2 THEN 'Same course' END,
              CASE WHEN len(common) > 0 THEN 'Shared concepts: ' || len(common) END,
              CASE WHEN round(similarity, 9) > 0.6 THEN 'Very similar content' WHEN round(similarity, 9) > 0.3 THEN 'Related content' ELSE 'Complementary reading' END,
-             CASE WHEN t1 <> t2 THEN 'Different format (' || t2 || ')' END) AS reason FROM overlaps""",
+             CASE WHEN t1 <> t2 THEN 'Different format (' || t2 || ')' END) AS reason FROM ov_pairs""",
         **REC,
-        overlaps=OVERLAP,
+        ov_pairs=OVERLAP,
     ),
 )
 def _(t: Catalog):
