@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalogue", "learners", "corpus", "study"]
+MODULES = ["catalogue", "learners", "corpus", "study", "streams"]
 
 
 def load() -> None:
