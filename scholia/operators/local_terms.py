@@ -138,7 +138,8 @@ def normalise_local_terms(docs: DataFrame, terms: Sequence[Term] | None = None)
 def has_local_patterns(docs: DataFrame, terms: Sequence[Term] | None = None) -> DataFrame:
     """Whether any term (in any case) or course code occurs."""
     terms = list(terms) if terms is not None else default_terms()
-    every = "|".join(_pattern(t) for t in dict.fromkeys(t.lower() for t, _, _ in terms))
+    forms = dict.fromkeys(t.lower() for t, _, _ in terms)
+    every = r"\b(?:" + "|".join(_pattern(t)[2:-2] for t in forms) + r")\b"
     return docs.select(
         "doc_id",
         (tx.matches(F.lower("text"), every) | tx.matches("text", COURSE_CODE)).alias("has_local_patterns"),

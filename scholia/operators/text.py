@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from scholia.functions import lexicon
 from scholia.functions import text as tx
+from scholia.session import work_partitions
 
 
 def by_document(docs: DataFrame, *cols: str) -> DataFrame:
-    return docs.select("doc_id", *(cols or ("text",))).repartition("doc_id")
+    chosen = docs.select("doc_id", *(cols or ("text",)))
+    return chosen.repartition(work_partitions(docs.sparkSession), "doc_id")
 
 
 # --- tokens, stems, counts --------------------------------------------------
@@ -780,7 +782,8 @@ def extraction_quality(docs: DataFrame, pages: DataFrame | None = None) -> DataF
         .when(F.col("quality") == "partial", "Only a small amount of readable text was found in this document.")
         .when(F.col("quality") == "none", "We couldn't find readable text in this document.")
     )
-    return base.select("doc_id", "quality", F.round(clamped, 2).alias("confidence"), note.alias("note"))
+    rounded = F.floor(clamped * 100 + 0.5) / 100
+    return base.select("doc_id", "quality", rounded.alias("confidence"), note.alias("note"))
 
 
 # --- chunks, types, ages ----------------------------------------------------

@@ -485,7 +485,7 @@ def _(t: Catalog):
 @register(
     "extraction_quality",
     sql(f"""
-    SELECT doc_id, quality, round(c, 2) AS confidence,
+    SELECT doc_id, quality, floor(c * 100 + 0.5) / 100 AS confidence,
       CASE WHEN missing > 0 THEN missing || ' of ' || total || ' page' || CASE WHEN total = 1 THEN '' ELSE 's' END || ' couldn''t be read and may be missing from this document''s study tools.'
            WHEN ocr > 0 AND c < 0.6 THEN 'This looks like a scan or photo — some words may have been misread.'
            WHEN quality = 'partial' THEN 'Only a small amount of readable text was found in this document.'

@@ -64,3 +64,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         )
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for text work: the cluster's shuffle setting, or one per core locally.
+
+    Text work is bound by CPU, not bytes, so its shuffle is not left to be
+    coalesced by size.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local"):
+        return cores
+    return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that gives fewer tasks than there are cores; else leave it."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(work_partitions(df.sparkSession), key)

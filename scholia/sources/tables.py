@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholia.session import prepare
+from scholia.session import prepare, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -27,6 +27,9 @@ def read_table(
     return frame.select(*cols) if cols else frame
 
 
+# Tables whose text keeps a core busy for long, with their key.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id"}
+
 # {name} is a table or another view; SPLIT and JSONK differ by engine.
 VIEWS: dict[str, str] = {
     "programmes": """
@@ -103,7 +106,8 @@ _NAME = re.compile(r"\{(\w+)\}")
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A catalogue view, or a plain table, as one lazy DataFrame."""
     if name in TABLES:
-        return read_table(spark, folder, name)
+        frame = read_table(spark, folder, name)
+        return spread(frame, TEXT_TABLES[name]) if name in TEXT_TABLES else frame
     sql = VIEWS[name].replace("SPLIT(", "split(").replace("JSONK(", "get_json_object(")
     parts = {part: view(spark, folder, part) for part in _NAME.findall(sql)}
     return spark.sql(sql, **parts)
