@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from scholia import plans
@@ -14,7 +15,7 @@ HEADLINE = [
     "popular_courses", "related_materials", "materials_enriched", "saved_with_material", "library_stats",
     "study_streaks", "topic_mastery", "study_time_profile", "rate_limit_audit",
     "tokens", "term_frequency", "tfidf", "bigrams", "token_categories", "readability", "language_id",
-    "ocr_signals", "document_profile", "keywords", "similar_materials", "stream_event_counts",
+    "ocr_signals", "document_profile", "keywords", "stream_event_counts",
 ]
 
 
@@ -29,6 +30,7 @@ def main() -> None:
         t0 = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - t0, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     spark.stop()
     print(
         json.dumps(
