@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from scholia.functions import lexicon
 from scholia.functions import text as tx
-from scholia.session import work_partitions
+from scholia.session import prepare, work_partitions
 
 
 def by_document(docs: DataFrame, *cols: str) -> DataFrame:
     chosen = docs.select("doc_id", *(cols or ("text",)))
-    return chosen.repartition(work_partitions(docs.sparkSession), "doc_id")
+    return chosen.repartition(work_partitions(prepare(docs.sparkSession)), "doc_id")
 
 
 # --- tokens, stems, counts --------------------------------------------------

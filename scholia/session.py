@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # may override everything except the time zone and ANSI mode.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
-    # A union of two coalesced shuffles must not pass for one co-located table.
+    # With this on, a window, group and join over a union of two shuffles gave split
+    # groups under adaptive execution (Spark 4.1.2); off, the same plan is right.
     "spark.sql.unionOutputPartitioning": "false",
 }
 RECOMMENDED = {
