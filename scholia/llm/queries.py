@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe
+from scholia.llm import bpe, quality_rules, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), tokenizer()), tokenizer())
     return decoded.select("doc_id", "n_tokens", *token_digests(decoded))
+
+
+@query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer())
+
+
+@query(quality_rules.ORACLE)
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place among eight shards whose row counts are at most one apart."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"), n_shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
