@@ -167,9 +167,8 @@ def words_of(texts: Texts, lower: bool = False, loose: bool = False) -> Words:
 def windows_of(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of so many codes; the last size - 1 entries reach over the end and are meaningless."""
     total = np.zeros(len(codes), np.uint64)
-    scale = np.uint64(1)
-    for k in range(size):
-        scale *= np.uint64(0xD6E8FEB86659FD93)
+    for k in range(min(size, len(codes))):
+        scale = np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 2**64))
         total[: len(codes) - k] += mix(codes[k:] + np.uint64(k + 1)) * scale
     return mix(total)
 
