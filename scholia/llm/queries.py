@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, language, quality_model, quality_rules, sharding, token_counts
+from scholia.llm import bpe, language, quality_model, quality_rules, secret_scan, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,24 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _joined(findings: Column) -> Column:
+    return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _count_of(kind: str) -> Column:
+    return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
+
+
+@query()
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: base findings and those of the network."""
+    documents = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(documents, secret_scan.learn(documents))
+    base = F.filter("findings", lambda x: x["kind"] != "model")
+    return found.select(
+        "doc_id",
+        *[_count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("findings")).alias("spans"),
+    )
