@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, language, quality_model, quality_rules, secret_scan, sharding, token_counts
+from scholia.llm import bpe, decontaminate, language, quality_model, quality_rules, secret_scan, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[_count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("findings")).alias("spans"),
     )
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark passage, with the passages it holds."""
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
