@@ -178,3 +178,35 @@ def spread_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     begin = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - begin, lengths)
+
+
+#: Places of a membership filter: 8 MB at any size of input. A full one lets more rows pass, never fewer.
+FILTER_BITS, FILTER_PART = 1 << 26, 1 << 15
+
+
+def membership_filter(keys: DataFrame) -> np.ndarray:
+    """One bit for each hash of the only column (64-bit integers): no key of it is ever missed."""
+    name = keys.columns[0]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // FILTER_PART), pa.array(at % FILTER_PART)], names=["part", "bit"])
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_PART, np.uint8)
+        bits[table.column("bit").to_numpy()] = 1
+        return pa.table({"part": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    placed = keys.select(F.col(name).cast("long")).where(F.col(name).isNotNull()).mapInArrow(place, "part long, bit long").distinct()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in placed.groupBy("part").applyInArrow(gather, "part long, bits binary").collect():  # at most 8 MB
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[r["part"] * len(part) : (r["part"] + 1) * len(part)] = part
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each 64-bit key may be in the filter."""
+    at = mix(keys.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, decontaminate, language, quality_model, quality_rules, secret_scan, sharding, token_counts
+from scholia.llm import bpe, decontaminate, jaccard, language, quality_model, quality_rules, secret_scan, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark passage, with the passages it holds."""
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set, and its component of documents linked by similarity."""
+    return jaccard.link(table(spark, sf_dir, "documents"))
