@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, decontaminate, jaccard, language, quality_model, quality_rules, secret_scan, sharding, token_counts
+from scholia.llm import bpe, decontaminate, jaccard, language, quality_model, quality_rules, secret_scan, sharding, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set, and its component of documents linked by similarity."""
     return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+@query(substrings.ORACLE)
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, and what is left without repeated passages."""
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
