@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once. A longer text is a slice of its own.
@@ -62,6 +62,21 @@ def texts_of(documents: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def hash_sample(rows: DataFrame, hashed: Column, size: int, n: int) -> DataFrame:
+    """The size rows of the n given with the smallest 64-bit hash.
+
+    Rows far above the bound to be expected are left out before the sort, so that the tasks
+    together send about twice the sample, however many they are. Where too few are below it
+    (many rows of one hash), all are sorted.
+    """
+    share = min(1.0, 2 * size / max(n, 1) + 100 / max(n, 1))
+    if share < 1:
+        low = rows.where(hashed < F.lit(int(share * 2**64) - 2**63))
+        if low.count() >= size:
+            rows = low
+    return rows.orderBy(hashed, *rows.columns).limit(size)
+
+
 class Texts(NamedTuple):
     """Texts end to end: data holds their UTF-8 bytes, text i is data[offsets[i]:offsets[i + 1]]."""
 
