@@ -22,10 +22,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import as_texts, prepare, slices
+from scholia.llm.common import as_texts, hash_sample, prepare, slices
 
 FOLDS, HELD_OUT = 4, 2
 #: Length of the vectors; sample documents and centroids of each language.
@@ -119,12 +119,16 @@ def learn(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS
     weights = np.log((1 + n) / (1 + np.array([held.get(b, 0) for b in range(BUCKETS)]))) + 0.1
 
     # the sample is chosen from ids alone; its texts come with a second, filtered scan
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
-    chosen = learnable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]  # sample rows a language
+    sizes = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    named = learnable.select("doc_id", "lang")
+    hashed = F.xxhash64(F.lit(11), "doc_id")
+    ids = [
+        r["doc_id"] for lang in sorted(sizes)
+        for r in hash_sample(named.where(F.col("lang") == lang), hashed, sample, sizes[lang]).collect()
+    ]  # sample rows a language; fmt: skip
     if not ids:
         return Model([], weights, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
-    wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1)
+    wanted = spark.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long").coalesce(1)
     has_letter = _has_letter()
     rows = learnable.join(F.broadcast(wanted), "doc_id").select("lang", "text").collect()
     by: dict[str, list[str]] = {}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import Texts, as_texts, prepare, slices, stored, texts_of, windows_of, words_of
+from scholia.llm.common import Texts, as_texts, hash_sample, prepare, slices, stored, texts_of, windows_of, words_of
 
 FOLDS, THRESHOLD, SHRINKAGE, CALIBRATION = 5, 0.3, 0.2, 20_000
 FEATURES = [
@@ -179,7 +179,7 @@ def learn(stats: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, cal
         factors.append(np.linalg.inv(lower))
         log_dets.append(2 * np.log(np.diag(lower)).sum())
     model = Model(np.array(means), np.array(factors), np.array(log_dets), prior, 1.0, 0.0)
-    part = rows.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "label").limit(calibration).select("label", *FEATURES).collect()
+    part = hash_sample(rows, F.xxhash64(F.lit(5), "doc_id"), calibration, sum(n)).select("label", *FEATURES).collect()
     x = np.array([r[1:] for r in part], float).reshape(-1, d)
     y = np.array([r[0] for r in part], float)
     slope, offset = _line(model.evidence(x), y)
