@@ -44,8 +44,12 @@ def _shifted(array: str, by: int, over: str) -> Column:
     return F.zip_with(array, F.slice(array, by + 1, F.greatest(F.col(over), F.lit(1))), lambda a, b: F.xxhash64(a, b))
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang"), F.col("source"))
+
+
 def measure(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_exclaims."""
+    """Per document: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_exclaims, text_key."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     flat = text
     for c in SPACES:
@@ -55,9 +59,9 @@ def measure(documents: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
         F.array_remove(F.split(flat, " "), "").alias("words"), lines.alias("lines"),
         F.char_length(F.replace(flat, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
-        _counted(text, SYMBOLS).cast("long").alias("n_symbols"), _counted(text, "!").cast("long").alias("n_exclaims"),
+        _counted(text, SYMBOLS).cast("long").alias("n_symbols"), _counted(text, "!").cast("long").alias("n_exclaims"), _text_key().alias("text_key"),
     )
-    kept = ["doc_id", "lang", "source", "word_chars", "n_symbols", "n_exclaims"]
+    kept = ["doc_id", "lang", "source", "word_chars", "n_symbols", "n_exclaims", "text_key"]
     coded = first.select(
         *kept, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("codes"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -83,7 +87,7 @@ def measure(documents: DataFrame) -> DataFrame:
     )
     return placed.select(
         "doc_id", "lang", "source", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_repeat_words"), "n_exclaims",
+        F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_repeat_words"), "n_exclaims", "text_key",
     )
 
 
@@ -123,8 +127,7 @@ def fences(histograms: DataFrame) -> DataFrame:
     )
 
 
-def judge(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, the counts of measure, base_failed, kept, and its measures and fences."""
+def _judged(documents: DataFrame) -> DataFrame:
     rate = lambda n: F.coalesce(F.expr(f"{n} * 1000 div nullif(n_words, 0)"), F.lit(0))
     measured = stored(
         measure(documents).withColumns({"symbol_rate": rate("n_symbols"), "exclaim_rate": rate("n_exclaims")}), "quality-counts"
@@ -137,12 +140,24 @@ def judge(documents: DataFrame) -> DataFrame:
     joined = measured.withColumns({"lang_group": _group("lang"), "source_group": _group("source")}).join(
         fences(sketches(measured)), ["lang_group", "source_group"], "left"
     )
-    return joined.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"),
+    return joined.withColumn("base_failed", failed).withColumn("kept", verdict)
+
+
+def judge(documents: DataFrame) -> DataFrame:
+    """Per document: doc_id, the counts of measure, base_failed, kept, and its measures and fences."""
+    return _judged(documents).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         *MEASURES, *[f"fence_{m}" for m in MEASURES],
     )
 
 
+def keep_good(documents: DataFrame) -> DataFrame:
+    """The documents that judge keeps, with all their columns."""
+    dropped = _judged(documents).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_text_key() == F.col("_key"))
+    return documents.join(dropped.hint("shuffle_hash"), same, "left_anti")
+
+
 #: DuckDB's form of the counts, the sketches and the verdict, over a relation docs(rid, doc_id, lang, source, t).
 SQL_COUNTS = r"""
 split_words AS (SELECT rid, doc_id, lang, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
