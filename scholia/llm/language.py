@@ -1,6 +1,6 @@
 """Language by nearest centroid (operator 5).
 
-A text is a vector of hashed byte 2-grams and 3-grams of its lower-case form: sublinear term
+A text is a vector of hashed byte 2-grams and 3-grams of its lower-case letters: sublinear term
 frequency times inverse document frequency, at length 1. Document frequencies are counted
 over all learnable documents; each language's centroids come from spherical k-means over a
 bounded sample of SAMPLE documents (those with the smallest hash of their id). A text gets
@@ -33,6 +33,9 @@ BUCKETS, SAMPLE, CENTROIDS = 4096, 400, 4
 REJECT, MARGIN, SHARPNESS = 0.01, 0.05, 20.0
 #: Texts that are turned into vectors at once.
 ROWS = 256
+#: Runs of ASCII characters other than letters count as one blank: marks and numbers say nothing of a language.
+_LETTERS = np.full(256, 32, np.uint32)
+_LETTERS[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 
 
 def fold() -> Column:
@@ -52,7 +55,10 @@ def counts(texts: list[str]) -> np.ndarray:
     low = as_texts(pa.array([t.lower() for t in texts], pa.large_string()))
     n, out = len(texts), np.zeros(len(texts) * BUCKETS)
     row = np.repeat(np.arange(n) * BUCKETS, np.diff(low.offsets))
-    data = low.data.astype(np.uint32)
+    data = _LETTERS[low.data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    row, data = row[keep], data[keep]
     gram = data
     for k in (1, 2):
         if len(data) <= k:
