@@ -386,5 +386,5 @@ def link(documents: DataFrame) -> DataFrame:
 
     labels = classes.join(found, "e", "left").select("k1", "k2", "n", F.coalesce("component", "e").alias("component_id"))
     return described.join(labels, ["k1", "k2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
