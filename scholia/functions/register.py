@@ -23,7 +23,7 @@ def _type_sql() -> str:
     out = "CASE WHEN lower(filename) RLIKE r'\\.pptx?$' THEN 'Slides'"
     for label, patterns in TYPE_PATTERNS:
         p = _lit(tx.rx("|".join(patterns), "i"))
-        out += f" WHEN filename RLIKE {p} OR coalesce(substring(body, 1, 1500) RLIKE {p}, false) THEN '{label}'"
+        out += f" WHEN filename RLIKE {p} OR coalesce(body RLIKE {p}, false) THEN '{label}'"
     return out + " ELSE 'Notes' END"
 
 

@@ -148,8 +148,10 @@ DOTTED_ABBREVIATIONS = {
     "i.e.": "ie", "e.g.": "eg", "U.S.": "US", "U.K.": "UK", "U.N.": "UN",
     "Ph.D.": "PhD", "B.Sc.": "BSc", "M.Sc.": "MSc", "B.A.": "BA", "M.A.": "MA",
 }
-# the same forms in one pattern: the letters are kept, the inner stops go
-DOTTED = r"\b(?:(i)\.(e)|(e)\.(g)|(U)\.([SKN])|(Ph)\.(D)|([BM])\.(Sc)|([BM])\.(A))\."
+# The table as one pattern: each part is a group, so the letters are kept and the inner stops go.
+_DOTTED_PARTS = [form.rstrip(".").split(".") for form in DOTTED_ABBREVIATIONS]
+DOTTED = r"\b(?:" + "|".join(r"\.".join(f"({part})" for part in parts) for parts in _DOTTED_PARTS) + r")\."
+DOTTED_KEPT = "".join(f"${i}" for i in range(1, sum(map(len, _DOTTED_PARTS)) + 1))
 DOT, CUT = "<DOT>", "<SPLIT>"
 INLINE_MATH = r"\$[^$]+\$"
 SENTENCE_OPENERS = "A-Z\"'(\\["
@@ -158,7 +160,7 @@ SENTENCE_OPENERS = "A-Z\"'(\\["
 def sentences(col: Column | str) -> Column:
     """Sentences longer than 15 characters, in order."""
     text = _c(col)
-    text = sub(text, DOTTED, "$1$2$3$4$5$6$7$8$9$10$11$12" + DOT)
+    text = sub(text, DOTTED, DOTTED_KEPT + DOT)
     text = sub(text, r"\b(" + "|".join(ABBREVIATIONS) + r")\.", "$1" + DOT)
     text = sub(text, r"\b(\d+)\.(\d+)", "$1" + DOT + "$2")
     text = sub(text, r"(\d)\.(\d)", "$1" + DOT + "$2")

@@ -525,7 +525,7 @@ def causal_relations(docs: DataFrame) -> DataFrame:
         F.get(strengths, F.col("g.step")).alias("strength"),
         tx.matches(around, BOTH_WAYS, "i").alias("bidirectional"),
     )
-    key = F.substring(F.lower(F.concat("cause", F.lit("→"), "effect")), 1, 60)
+    key = tx.strip(F.lower(F.concat("cause", F.lit("→"), "effect")))
     first = shaped.groupBy("doc_id", key.alias("_k")).agg(
         F.min_by(F.struct("cause", "effect", "strength", "bidirectional", "at"), "at").alias("r")
     )
@@ -631,7 +631,7 @@ def reasoning_steps(docs: DataFrame) -> DataFrame:
             F.array(*[F.when(tx.matches("inference", p, "i"), F.lit(name)) for name, p in FALLACIES])
         ).alias("fallacies"),
     )
-    key = F.substring(F.lower("conclusion"), 1, 80)
+    key = tx.strip(F.lower("conclusion"))
     first = flagged.groupBy("doc_id", key.alias("_k")).agg(
         F.min_by(F.struct(*[c for c in flagged.columns if c != "doc_id"]), "at").alias("r")
     )

@@ -152,7 +152,6 @@ def structure_flags(docs: DataFrame) -> DataFrame:
 # --- tables -----------------------------------------------------------------
 
 CAPTION = r"^Table\s+(\d+)[.:]\s*(.*)$"
-CAPTION_LINES = 31
 
 
 def text_tables(docs: DataFrame) -> DataFrame:
@@ -184,8 +183,7 @@ def text_tables(docs: DataFrame) -> DataFrame:
         "_owned",
         F.col("_cap_at").isNotNull()
         & ~F.col("_stop")
-        & (F.col("_stop_at") == F.col("_cap_at"))
-        & (F.col("line_no") - F.col("_cap_at") <= CAPTION_LINES),
+        & (F.col("_stop_at") == F.col("_cap_at")),
     )
     kind = (
         F.when(F.col("_owned"), "captioned")

@@ -549,8 +549,8 @@ EVIDENCE_CUES = [
 ]
 
 
-def cued_sentences(docs: DataFrame, cues: Sequence[str], longer_than: int, n: int = 10) -> DataFrame:
-    """First n sentences matching a cue, over longer_than and under 300 characters."""
+def cued_sentences(docs: DataFrame, cues: Sequence[str], longer_than: int, n: int | None = None) -> DataFrame:
+    """Sentences matching a cue, over longer_than and under 300 characters, ranked by place; the first n where asked."""
     kept = F.filter(
         tx.sentences("text"),
         lambda s: tx.matches(s, "|".join(f"(?:{c})" for c in cues), "i")
@@ -558,7 +558,7 @@ def cued_sentences(docs: DataFrame, cues: Sequence[str], longer_than: int, n: in
         & (F.length(s) < 300),
     )
     ready = docs.where(F.length(tx.strip("text")) >= 50)
-    return ready.select("doc_id", F.posexplode(F.slice(kept, 1, n)).alias("rank", "sentence"))
+    return ready.select("doc_id", F.posexplode(kept if n is None else F.slice(kept, 1, n)).alias("rank", "sentence"))
 
 
 def argument_sentences(docs: DataFrame) -> DataFrame:
@@ -662,11 +662,11 @@ def dedupe_adjacent_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", dedupe_adjacent("text").alias("text"))
 
 
-def clean_ocr(docs: DataFrame, merge_single_letters: bool = False) -> DataFrame:
+def clean_ocr(docs: DataFrame, merge_single_letters: bool = True) -> DataFrame:
     """Clean scanned text; each stage is one column so its effect can be seen.
 
-    ``merge_single_letters`` also glues a one-letter word to the word before
-    it, which repairs broken words and damages sound ones ("is a" -> "isa").
+    ``merge_single_letters`` glues a one-letter word to the word before it, which
+    repairs broken words and damages sound ones ("is a" -> "isa"); it can be turned off.
     """
 
     def chain(col: str, rules: Sequence[tuple[str, str]], flags: str = "") -> Column:
@@ -789,11 +789,12 @@ def extraction_quality(docs: DataFrame, pages: DataFrame | None = None) -> DataF
 # --- chunks, types, ages ----------------------------------------------------
 
 
-def fixed_chunks(docs: DataFrame, size: int = 32_000, overlap: int = 300, cap: int = 16) -> DataFrame:
-    """Overlapping character chunks, at most ``cap``, with the share covered."""
+def fixed_chunks(docs: DataFrame, size: int = 32_000, overlap: int = 300, cap: int | None = None) -> DataFrame:
+    """Overlapping character chunks of the whole text, with the share covered; at most ``cap`` where asked."""
     length = F.length("text")
     step = size - overlap
-    n = F.least(F.lit(cap), F.greatest(F.ceil((length - overlap) / step), F.when(length > 0, 1).otherwise(0)))
+    n = F.greatest(F.ceil((length - overlap) / step), F.when(length > 0, 1).otherwise(0))
+    n = n if cap is None else F.least(F.lit(cap), n)
     starts = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     covered = F.least(length, n * size)
     share = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(covered / length * 100 + 0.5)))
@@ -848,11 +849,10 @@ TYPE_PATTERNS = [
 
 def material_type(filename: Column | str, text: Column | str) -> Column:
     name = F.col(filename) if isinstance(filename, str) else filename
-    sample = F.substring(text, 1, 1500)
     out = F.when(F.lower(name).rlike(r"\.pptx?$"), "Slides")
     for label, patterns in TYPE_PATTERNS:
         pattern = "|".join(patterns)
-        out = out.when(tx.matches(name, pattern, "i") | tx.matches(sample, pattern, "i"), label)
+        out = out.when(tx.matches(name, pattern, "i") | tx.matches(text, pattern, "i"), label)
     return out.otherwise("Notes")
 
 

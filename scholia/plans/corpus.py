@@ -354,7 +354,7 @@ def _cued(cues: list[str], longer: int) -> str:
     pattern = "(?i)" + "|".join(f"(?:{c})" for c in cues)
     return sql(f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - 1 AS rank, sentence FROM sents
       JOIN (SELECT doc_id FROM docs WHERE length({duck.strip('text')}) >= 50) USING (doc_id)
-      WHERE regexp_matches(sentence, {q(pattern)}) AND length(sentence) > {longer} AND length(sentence) < 300 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) <= 10""")
+      WHERE regexp_matches(sentence, {q(pattern)}) AND length(sentence) > {longer} AND length(sentence) < 300""")
 
 
 @register("argument_sentences", _cued(x.ARGUMENT_CUES, 30))
@@ -462,12 +462,12 @@ def _clean_sql(merge: bool) -> str:
 
 @register("clean_ocr", _clean_sql(False))
 def _(t: Catalog):
-    return x.clean_ocr(t.documents).withColumns({"cleaned": F.md5("cleaned"), "fixes": F.array_join("fixes", ",")})
+    return x.clean_ocr(t.documents, merge_single_letters=False).withColumns({"cleaned": F.md5("cleaned"), "fixes": F.array_join("fixes", ",")})
 
 
 @register("clean_ocr_merged", _clean_sql(True))
 def _(t: Catalog):
-    return x.clean_ocr(t.documents, merge_single_letters=True).withColumns(
+    return x.clean_ocr(t.documents).withColumns(
         {"cleaned": F.md5("cleaned"), "fixes": F.array_join("fixes", ",")}
     )
 
@@ -510,10 +510,10 @@ def _(t: Catalog):
     sql("""SELECT doc_id, k AS chunk, CAST(greatest(1, least(100, floor(least(length(text), n * 1500) / length(text) * 100 + 0.5))) AS BIGINT) AS coverage_pct,
              md5(substr(text, k * 1400 + 1, 1500)) AS body
            FROM (SELECT doc_id, text, n, unnest(range(0, n)) AS k FROM
-             (SELECT doc_id, text, CAST(least(8, greatest(ceil((length(text) - 100) / 1400), 1)) AS BIGINT) AS n FROM docs WHERE length(text) > 0))"""),
+             (SELECT doc_id, text, CAST(greatest(ceil((length(text) - 100) / 1400), 1) AS BIGINT) AS n FROM docs WHERE length(text) > 0))"""),
 )
 def _(t: Catalog):
-    return x.fixed_chunks(t.documents, 1500, 100, 8).withColumns(
+    return x.fixed_chunks(t.documents, 1500, 100).withColumns(
         {"chunk": F.col("chunk").cast("long"), "body": F.md5("body")}
     )
 
@@ -540,7 +540,7 @@ def _type_sql(name: str, text: str) -> str:
     out = f"CASE WHEN regexp_matches(lower({name}), '\\.pptx?$') THEN 'Slides'"
     for label, patterns in x.TYPE_PATTERNS:
         p = q("(?i)" + "|".join(patterns))
-        out += f" WHEN regexp_matches({name}, {p}) OR regexp_matches(substr({text}, 1, 1500), {p}) THEN {q(label)}"
+        out += f" WHEN regexp_matches({name}, {p}) OR regexp_matches({text}, {p}) THEN {q(label)}"
     return out + " ELSE 'Notes' END"
 
 

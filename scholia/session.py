@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Session option: shuffle the rows of a text table over spark.sql.shuffle.partitions before work on them.
+SPREAD = "spark.scholia.spread"
 ROCKSDB_STORE = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -42,6 +45,7 @@ def local_session(cpus: int = 8, app: str = "scholia", memory: str = "8g") -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STORE)
+        .config(SPREAD, "true")
     )
     for key, value in {**REQUIRED, **RECOMMENDED}.items():
         builder = builder.config(key, value)
@@ -50,37 +54,44 @@ def local_session(cpus: int = 8, app: str = "scholia", memory: str = "8g") -> Sp
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediates, as ``spark.checkpoint.dir`` names it.
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is set only
-    where the session names none (tests on one machine). Checkpoint files
-    survive the loss of executors.
+    Only a session on one machine may leave it unset; it then gets a temporary folder.
+    On a cluster a folder of the driver's own is refused.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
-def work_partitions(spark: SparkSession) -> int:
-    """Partitions for text work: the cluster's shuffle setting, or one per core locally.
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Text work is bound by CPU, not bytes, so its shuffle is not left to be
-    coalesced by size.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    if spark.sparkContext.master.startswith("local"):
-        return cores
-    return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back; the files survive lost executors."""
+    path = work_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for text work: bound by CPU, not bytes, so it is not left to be coalesced by size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that gives fewer tasks than there are cores; else leave it."""
-    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(work_partitions(df.sparkSession), key)
+    """Spread a scan over the cores where the session asks for it (small tables in one file)."""
+    if spark_option(df.sparkSession, SPREAD) == "true":
+        return df.repartition(work_partitions(df.sparkSession), key)
+    return df
+
+
+def spark_option(spark: SparkSession, name: str) -> str:
+    return spark.conf.get(name, "")

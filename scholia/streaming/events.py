@@ -22,15 +22,13 @@ from scholia.sources.tables import VIEWS
 
 
 def read_event_stream(
-    spark: SparkSession, folder: str, schema: StructType, name: str = "events.parquet", per_batch: int = 8
+    spark: SparkSession, folder: str, schema: StructType, name: str = "events.parquet", per_batch: int | None = None
 ) -> DataFrame:
-    """Parquet event files as a stream; a batch takes at most ``per_batch`` files."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", per_batch)
-        .parquet(folder)
-    )
+    """Parquet event files as a stream; a batch takes at most ``per_batch`` files where asked."""
+    files = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if per_batch is not None:
+        files = files.option("maxFilesPerTrigger", per_batch)
+    return files.parquet(folder)
 
 
 def as_view(stream: DataFrame, name: str) -> DataFrame:
@@ -126,9 +124,9 @@ class Mastery(StatefulProcessor):
             else:
                 hit = ratio >= 0.5
                 level = before * CARD_KEEP + (CARD_GAIN if hit else 0.0)
-            if level > before + TREND_STEP:
+            if level - before > TREND_STEP:
                 trend = "improving"
-            elif level < before - TREND_STEP:
+            elif before - level > TREND_STEP:
                 trend = "declining"
             elif kind == "quiz":
                 trend = "stable"

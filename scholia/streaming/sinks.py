@@ -1,26 +1,18 @@
-"""Stream sinks: an append sink, and a latest-wins table kept by versions."""
+"""Stream sinks: an append sink, and a latest-wins table in partitions by key hash."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scholia.operators.writes import upsert_by_key
-from scholia.session import ROCKSDB_STORE
+from scholia.session import ROCKSDB_STORE, cut_lineage, work_folder
 
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder, or a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-")
+#: Partitions of an upserted table.
+BUCKETS = 16
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -41,36 +33,36 @@ def append_to_table(stream: DataFrame, path: str) -> None:
     )
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    done = [
-        n for n in names
-        if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
-    ]
-    return sorted(int(n[2:]) for n in done)
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def upsert_writer(
-    path: str, keys: Sequence[str], keep_if_null: Sequence[str] = ()
+    path: str, keys: Sequence[str], keep_if_null: Sequence[str] = (), buckets: int = BUCKETS
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: version b of the table = version before b + batch b.
+    """foreachBatch function: merge a batch into a Parquet table that is partitioned by key hash.
 
-    A batch that runs again after a failure writes the same version again from
-    the same input, so the table is right whatever was lost.
+    Only the partitions that hold a key of the batch are read and written again. The merge is
+    stored before it replaces them, and merging a batch twice gives the same table, so a
+    batch that runs again after a failure leaves it right.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = [v for v in _versions(spark, path) if v < batch_id]
-        if earlier:
-            base = spark.read.parquet(f"{path}/v={earlier[-1]}")
-            batch = upsert_by_key(base, batch, keys, keep_if_null)
-        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        batch = cut_lineage(batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+        touched = [r["_bucket"] for r in batch.select("_bucket").distinct().collect()]  # at most buckets
+        base = _existing(spark, path)
+        if not touched:
+            return
+        if base is not None:
+            held = base.where(F.col("_bucket").isin(touched)).select(*batch.columns)
+            batch = cut_lineage(upsert_by_key(held, batch, keys, keep_if_null))
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
 
     return write
 
@@ -90,4 +82,4 @@ def stream_upsert_sink(
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/table/v={_versions(spark, f'{path}/table')[-1]}")
+    return spark.read.parquet(f"{path}/table").drop("_bucket")
