@@ -739,15 +739,15 @@ def sanitise_text(docs: DataFrame, cols: Sequence[str] = ("text",)) -> DataFrame
     return docs.withColumns({c: sanitise(c) for c in cols})
 
 
-def extraction_quality(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """How far extracted text can be trusted.
+def extraction_quality(docs: DataFrame, pages: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """How far extracted text can be trusted; columns of keep stay in the row.
 
     ``pages`` (doc_id, total_pages, ocr_pages, uncovered_pages) lowers the
     confidence for pages read by OCR or not read at all.
     """
     length = F.length(tx.strip("text"))
     quality = F.when(length >= 200, "good").when(length >= 20, "partial").otherwise("none")
-    base = docs.select("doc_id", quality.alias("quality"))
+    base = docs.select("doc_id", *keep, quality.alias("quality"))
     if pages is None:
         base = base.withColumns({"total_pages": F.lit(1), "ocr_pages": F.lit(0), "uncovered_pages": F.lit(0)})
     else:
@@ -783,7 +783,7 @@ def extraction_quality(docs: DataFrame, pages: DataFrame | None = None) -> DataF
         .when(F.col("quality") == "none", "We couldn't find readable text in this document.")
     )
     rounded = F.floor(clamped * 100 + 0.5) / 100
-    return base.select("doc_id", "quality", rounded.alias("confidence"), note.alias("note"))
+    return base.select("doc_id", *keep, "quality", rounded.alias("confidence"), note.alias("note"))
 
 
 # --- chunks, types, ages ----------------------------------------------------

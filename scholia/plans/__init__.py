@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalogue", "learners", "corpus", "study", "streams"]
+MODULES = ["catalogue", "learners", "corpus", "study", "notes", "streams"]
 
 
 def load() -> None:

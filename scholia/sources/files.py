@@ -113,8 +113,7 @@ def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
         F.col("length").alias("size_bytes"),
         sanitise(F.decode("content", "UTF-8")).alias("text"),
     )
-    graded = extraction_quality(docs)
-    return docs.join(graded, "doc_id")
+    return extraction_quality(docs, keep=("path", "extension", "size_bytes", "text"))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
