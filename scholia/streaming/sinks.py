@@ -62,7 +62,8 @@ def upsert_writer(
         if base is not None:
             held = base.where(F.col("_bucket").isin(touched)).select(*batch.columns)
             batch = cut_lineage(upsert_by_key(held, batch, keys, keep_if_null))
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+        out = batch.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("_bucket").parquet(path)
 
     return write
 
