@@ -7,8 +7,8 @@ with a smaller doc_id. Windows are judged on the input.
    windows have it at the same distance. Suffixes are grouped by the PREFIX words at their
    anchor; only prefixes that occur in more than one document go on, known to the tasks by a
    filter of fixed size. This drops nearly all suffixes before any words are shuffled.
-2. Prefixes with more than GROUP suffixes are extended by a part of the document id, so that
-   every group fits a task's memory.
+2. Prefixes with more than GROUP suffix groups are extended by a hash of document and place, so
+   that every group fits a task's memory.
 3. Each group's subtree is built over its suffixes' words: nodes at depth 1, 2, 4 and 8 are
    named by sorting pairs of names, and from these the nodes at depth WINDOW. Deep nodes with
    more than one document are the repeats; all but the smallest document's windows go. For
@@ -67,7 +67,7 @@ def anchored(words: Words) -> Anchored:
 
 
 def shared_prefixes(documents: DataFrame) -> DataFrame:
-    """Prefixes at anchors in more than one document: prefix, n (documents)."""
+    """Prefixes at anchors in more than one document: prefix, n (suffix groups, also those within one document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -76,12 +76,16 @@ def shared_prefixes(documents: DataFrame) -> DataFrame:
             prefix, of = found.prefix[order], found.of[order]
             fresh = np.ones(len(of), bool)
             fresh[1:] = (prefix[1:] != prefix[:-1]) | (of[1:] != of[:-1])
+            first = np.flatnonzero(fresh)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix[fresh].view(np.int64)), pa.array(ids[of[fresh]])], names=["prefix", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(prefix[first].view(np.int64)), pa.array(ids[of[first]]), pa.array(np.diff(np.append(first, len(of))))],
+                names=["prefix", "doc_id", "n"],
+            )
 
-    rows = texts_of(documents).where("doc_id is not null").mapInArrow(run, "prefix long, doc_id long")
+    rows = texts_of(documents).where("doc_id is not null").mapInArrow(run, "prefix long, doc_id long, n long")
     return (
-        rows.groupBy("prefix").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        rows.groupBy("prefix").agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         .where("low < high").select("prefix", "n")
     )
 
@@ -104,8 +108,10 @@ def suffixes(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
             of, first, last, prefix = found.of[keep], found.first[keep], found.last[keep], prefix[keep]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[of].astype(np.int64)
             part = np.full(len(prefix), -1)
-            for i in np.flatnonzero(np.isin(prefix, large)).tolist():
-                part[i] = int(mix(ids[i : i + 1].view(np.uint64))[0] % np.uint64(extended[int(prefix[i])]))
+            hot = np.flatnonzero(np.isin(prefix, large))
+            if len(hot):
+                place = mix(mix(ids[hot].view(np.uint64)) + first[hot].astype(np.uint64))
+                part[hot] = (place % np.array([extended[p] for p in prefix[hot].tolist()], np.uint64)).astype(np.int64)
             sizes = last - first + WINDOW
             data = words.codes[spread_ranges(first, sizes)] if len(first) else words.codes[:0]
             ends = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
