@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -347,8 +348,9 @@ def rate_limit_audit(calls: DataFrame, k: int = 5, seconds: int = 600) -> DataFr
     """Accept or reject each call: rejected once k accepted calls are in the window.
 
     Rejected calls do not count. A call after a quiet window starts afresh, so
-    calls are split into bursts there; only bursts that ever reach k calls are
-    folded, in time order, holding the last k accepted times and nothing else.
+    calls are split into bursts there; one window marks bursts that ever reach k
+    calls, and only these are folded, in time order, holding the last k accepted
+    times and nothing else.
     """
     dense = trailing_counts(calls.select("event_id", "user_id", "ts"), seconds)
     day = F.to_date("ts")
@@ -363,36 +365,30 @@ def rate_limit_audit(calls: DataFrame, k: int = 5, seconds: int = 600) -> DataFr
     bursts = marked.withColumn("_in", F.max("_start").over(in_day)).join(
         carried, ["user_id", "_day"]
     ).select("event_id", "user_id", "ts", "trailing", F.coalesce("_in", "_carry").alias("burst"))
-    hot = bursts.where(F.col("trailing") >= k).select("user_id", "burst").distinct()
-    folded = (
-        bursts.join(hot, ["user_id", "burst"], "left_semi")
-        .select("user_id", "burst", F.unix_micros("ts").alias("us"), "event_id", "ts", "trailing")
-        .repartition("user_id", "burst")
+    hot = F.max("trailing").over(W.partitionBy("user_id", "burst")) >= k
+    return (
+        bursts.withColumns({"hot": hot, "us": F.unix_micros("ts")})
         .sortWithinPartitions("user_id", "burst", "us", "event_id")
         .mapInPandas(
             lambda parts: _accept(parts, k, seconds * 1_000_000),
             "event_id long, user_id long, ts timestamp, trailing long, accepted boolean",
         )
     )
-    calm = bursts.join(hot, ["user_id", "burst"], "left_anti").select(
-        "event_id", "user_id", "ts", "trailing", F.lit(True).alias("accepted")
-    )
-    return calm.unionByName(folded)
 
 
 def _accept(parts: Iterator[pd.DataFrame], k: int, window: int) -> Iterator[pd.DataFrame]:
-    """Streamed over sorted rows; the state is the last k accepted times of a burst."""
+    """Streamed over sorted rows; calm bursts pass, of a hot one the last k accepted times are held."""
     current, recent = None, deque(maxlen=k)
     for part in parts:
-        verdicts = []
-        for user, burst, us in zip(part["user_id"], part["burst"], part["us"]):
-            if (user, burst) != current:
-                current, recent = (user, burst), deque(maxlen=k)
-            ok = len(recent) < k or recent[0] < us - window
-            if ok:
+        accepted = np.ones(len(part), bool)
+        for i in np.flatnonzero(part["hot"].to_numpy()):
+            key, us = (part["user_id"].iat[i], part["burst"].iat[i]), part["us"].iat[i]
+            if key != current:
+                current, recent = key, deque(maxlen=k)
+            accepted[i] = len(recent) < k or recent[0] < us - window
+            if accepted[i]:
                 recent.append(us)
-            verdicts.append(ok)
-        yield part[["event_id", "user_id", "ts", "trailing"]].assign(accepted=verdicts)
+        yield part[["event_id", "user_id", "ts", "trailing"]].assign(accepted=accepted)
 
 
 def expire_stale(materials: DataFrame, as_of: str, minutes: int = 10, updated: str = "created_at") -> DataFrame:
