@@ -185,6 +185,20 @@ def token_categories(docs: DataFrame) -> DataFrame:
     )
 
 
+def tagged_tokens(docs: DataFrame) -> DataFrame:
+    """Every token with stem, category and whether it signals academic prose; each distinct token is judged once.
+
+    Tokens are lower case, so ``capitalised`` is false for all.
+    """
+    placed = tokens(docs)
+    judged = stem_vocabulary(placed).select(
+        "token", "stem", tx.word_category(F.col("token")).alias("category"), tx.one_of(F.col("token"), lexicon.SIGNAL_WORDS).alias("academic")
+    )
+    return placed.join(judged, "token").select(
+        "doc_id", "pos", F.col("token").alias("word"), "stem", "category", F.lit(False).alias("capitalised"), "academic"
+    )
+
+
 def phrase_chunk_array(col: str | Column, lo: int = 2, hi: int = 5) -> Column:
     """Maximal runs of nouns and adjectives with lo..hi words, in order."""
     marked = F.transform(

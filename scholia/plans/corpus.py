@@ -154,6 +154,15 @@ def _(t: Catalog):
     return x.token_categories(t.documents)
 
 
+@register(
+    "tagged_tokens",
+    sql(f"""SELECT doc_id, pos, token AS word, stem, category, false AS capitalised, token IN {duck.word_list(lexicon.SIGNAL_WORDS)} AS academic
+            FROM tagged JOIN stems USING (token)""", tagged=TAGGED),
+)
+def _(t: Catalog):
+    return x.tagged_tokens(t.documents).withColumn("pos", F.col("pos").cast("long"))
+
+
 CHUNKS = """
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS nth, string_agg(token, ' ' ORDER BY pos) AS phrase, count(*) AS size
     FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM tagged WHERE category IN ('noun', 'adjective'))
