@@ -8,25 +8,52 @@ from pyspark.sql import functions as F
 from scholia.plans.duck import sql
 from scholia.plans.learners import PLAIN
 from scholia.plans.registry import ORACLES, register
+from scholia.session import work_folder
 from scholia.sources.tables import Catalog
 from scholia.streaming import events as se
 from scholia.streaming import sinks
 
 
-def _stream(t: Catalog, view: str = "study_events") -> DataFrame:
+#: Files, and so batches, that the events of a stream are split into by time.
+SLICES = 3
+
+
+def _stream(t: Catalog, view: str = "study_events", closed: bool = False) -> DataFrame:
+    """The events as a stream of SLICES files in order of time, one a batch, so that state crosses batches.
+
+    closed adds a last file with one event a year later, which lets everything before it end.
+    """
+    sinks.use_rocksdb(t.spark)
+    path = work_folder(t.spark, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = t.events.select(F.percentile_approx(micros, [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
+    slice_of = F.lit(0)
+    for cut in cuts:
+        slice_of = slice_of + (micros > cut).cast("int")
+    for i in range(SLICES):
+        t.events.where(slice_of == i).coalesce(1).write.mode("append").parquet(path)
+    if closed:
+        later = (F.max("ts").cast("timestamp") + F.expr("INTERVAL 365 DAYS")).cast(t.events.schema["ts"].dataType)
+        end = t.events.agg(later.alias("ts"), F.lit(-1).alias("user_id"), F.lit(-1).alias("event_id"))
+        held = [F.col(f.name).cast(f.dataType) if f.name in end.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in t.events.schema]
+        end.select(*held).write.mode("append").parquet(path)
+    return se.as_view(se.read_event_stream(t.spark, path, t.events.schema, "*.parquet", per_batch=1), view)
+
+
+def _whole_stream(t: Catalog) -> DataFrame:
+    """The events as one batch, for results that depend on where batches end."""
     sinks.use_rocksdb(t.spark)
-    schema = t.events.schema
-    return se.as_view(se.read_event_stream(t.spark, t.folder, schema), view)
+    return se.as_view(se.read_event_stream(t.spark, t.folder, t.events.schema), "study_events")
 
 
 def _appended(t: Catalog, stream: DataFrame, name: str) -> DataFrame:
-    path = sinks.work_folder(t.spark, name)
+    path = work_folder(t.spark, name)
     sinks.append_to_table(stream, path)
     return t.spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
 def _upserted(t: Catalog, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    path = sinks.work_folder(t.spark, name)
+    path = work_folder(t.spark, name)
     sinks.stream_upsert_sink(stream, path, keys)
     return sinks.read_upserted(t.spark, path)
 
@@ -51,13 +78,13 @@ def _(t: Catalog):
 @register(
     "stream_sessions",
     sql("""
-    SELECT user_id, min(ts) AS started, max(ts) AS last_seen, count(*) AS events FROM (
+    SELECT user_id, min(ts) AS started, max(ts) AS last_seen, count(*) AS events, (epoch_us(max(ts)) - epoch_us(min(ts))) // 60000000 AS minutes FROM (
       SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g
       FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM study_events))
-    GROUP BY user_id, g HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM study_events) - INTERVAL 1 HOUR"""),
+    GROUP BY user_id, g"""),
 )
 def _(t: Catalog):
-    return _appended(t, se.stream_sessions(_stream(t), "6 hours"), "sessions")
+    return _appended(t, se.stream_sessions(_stream(t, closed=True), "6 hours"), "sessions")
 
 
 @register("stream_rate_limit", ORACLES["rate_limit_audit"])
@@ -90,7 +117,7 @@ def _(t: Catalog):
 def _(t: Catalog):
     """Items whose last event opened work that nothing closed."""
     opened = F.when(F.col("kind").isin("session", "quiz"), "processing").otherwise("ready")
-    updates = _stream(t).select("event_id", "ts", F.col("material_id").alias("item_id"), opened.alias("status"))
+    updates = _whole_stream(t).select("event_id", "ts", F.col("material_id").alias("item_id"), opened.alias("status"))
     return _appended(t, se.stream_stale_expiry(updates), "expiry").select("item_id", "status")
 
 

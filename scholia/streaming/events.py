@@ -49,12 +49,15 @@ def stream_event_counts(events: DataFrame, window: str, slide: str | None = None
 
 
 def stream_sessions(events: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
-    """Study sessions by inactivity gap, emitted once they can grow no more."""
+    """Study sessions by inactivity gap, emitted once they can grow no more; minutes from first to last event."""
     return (
         events.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap), "user_id")
         .agg(F.count("*").alias("events"), F.min("ts").alias("started"), F.max("ts").alias("last_seen"))
-        .select("user_id", "started", "last_seen", "events")
+        .select(
+            "user_id", "started", "last_seen", "events",
+            F.floor((F.unix_micros("last_seen") - F.unix_micros("started")) / 60_000_000).alias("minutes"),
+        )
     )
 
 
@@ -73,13 +76,15 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class RateLimit(StatefulProcessor):
-    """State per user: times of the last k accepted calls."""
+    """State per user: times of the last k accepted calls, until none of them can matter any more."""
 
     def __init__(self, k: int, seconds: int):
         self.k, self.window = k, seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.accepted = handle.getListState("accepted", "us long")
+        self.due = handle.getValueState("due", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         part = _in_order(rows)
@@ -90,17 +95,32 @@ class RateLimit(StatefulProcessor):
             if ok:
                 recent = [*recent, int(us)][-self.k :]
             verdicts.append(ok)
-        self.accepted.put([(us,) for us in recent])
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+        due = (recent[-1] + self.window) // 1_000 + 1
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.accepted.put([(us,) for us in recent])
+            self.due.update((due,))
+            self.handle.registerTimer(due)
+        else:
+            self.accepted.clear()
         yield pd.DataFrame({"event_id": part["event_id"], "user_id": key[0], "accepted": verdicts})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        self.due.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream_rate_limit(calls: DataFrame, k: int = 5, seconds: int = 600) -> DataFrame:
-    keyed = calls.select("event_id", "user_id", "ts", F.unix_micros("ts").alias("us"))
+def stream_rate_limit(calls: DataFrame, k: int = 5, seconds: int = 600, delay: str = "1 day") -> DataFrame:
+    """Accepted or rejected calls; a user's state goes once the watermark has left the window of the last call."""
+    keyed = calls.withWatermark("ts", delay).select("event_id", "user_id", "ts", F.unix_micros("ts").alias("us"))
     return keyed.groupBy("user_id").transformWithStateInPandas(
-        RateLimit(k, seconds), "event_id long, user_id long, accepted boolean", "Append", "None"
+        RateLimit(k, seconds), "event_id long, user_id long, accepted boolean", "Append", "EventTime"
     )
 
 
