@@ -77,13 +77,19 @@ def sections(docs: DataFrame) -> DataFrame:
         F.when(F.col("_s") == 0, 0).otherwise(F.col("_h.level")).alias("level"),
         tx.strip(F.array_join(F.transform("_body", lambda b: b["line"]), "\n")).alias("content"),
     )
-    everything = F.collect_list(F.struct("section", "level")).over(W.partitionBy("doc_id"))
-    earlier = F.filter(
-        "_all", lambda s: (s["section"] < F.col("section")) & (s["level"] < F.col("level"))
-    )
-    return flat.withColumn("_all", everything).select(
-        "doc_id", "section", "title", "level", "content",
-        F.array_max(F.transform(earlier, lambda s: s["section"])).alias("parent_section"),
+    # parents by one ordered fold over the levels of a document: open holds the chain of sections above
+    none = F.array().cast("array<struct<section:int,level:int>>")
+    start = F.struct(none.alias("open"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        above = F.filter(acc["open"], lambda s: s["level"] < x["level"])
+        parent = F.get(above, F.size(above) - 1)["section"]
+        return F.struct(F.array_append(above, x).alias("open"), F.array_append(acc["out"], parent).alias("out"))
+
+    levels = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", "level"))).alias("_all"))
+    parents = levels.select("doc_id", F.posexplode(F.aggregate("_all", start, step, lambda acc: acc["out"])).alias("_at", "parent_section"))
+    return flat.join(parents.withColumn("section", F.col("_at") + 1), ["doc_id", "section"]).select(
+        "doc_id", "section", "title", "level", "content", "parent_section"
     )
 
 

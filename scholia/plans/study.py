@@ -13,7 +13,7 @@ from scholia.operators import structure as st
 from scholia.operators import study as s
 from scholia.operators import text as x
 from scholia.plans import duck
-from scholia.plans.corpus import CHUNKS, TAGGED, keyword_ctes, topic_ctes
+from scholia.plans.corpus import CHUNKS, LANGS, METRICS, TAGGED, keyword_ctes, topic_ctes
 from scholia.plans.duck import q, sql
 from scholia.plans.registry import register
 from scholia.session import cut_lineage
@@ -39,9 +39,45 @@ def _(t: Catalog):
     return st.structure_flags(t.documents)
 
 
-@register("sections")
+def _heading_sql() -> tuple[str, str]:
+    """Level and title of a line, by the first heading pattern that it matches."""
+    level, title = "CASE", "CASE"
+    for i, (pattern, flags, fixed, group) in enumerate(st.HEADINGS):
+        p = q((f"(?{flags})" if flags else "") + pattern)
+        marker = f"regexp_extract(line, {p}, 1)"
+        depth = str(fixed) if fixed is not None else f"length({marker})" if i == 0 else f"len(string_split({marker}, '.'))"
+        stripped = duck.strip(f"regexp_extract(line, {p}, {group})")
+        level += f" WHEN regexp_matches(line, {p}) THEN {depth}"
+        title += f" WHEN regexp_matches(line, {p}) THEN regexp_replace({stripped}, '^[:.]+\\s*', '')"
+    return level + " END", title + " END"
+
+
+_LEVEL, _TITLE = _heading_sql()
+SECTIONS = dict(
+    heads=f"""SELECT doc_id, line_no, line, CASE WHEN short THEN lv END AS lv, CASE WHEN short THEN title END AS title FROM (
+      SELECT *, len(regexp_split_to_array(title, '\\s+')) <= {st.HEADING_WORDS} AS short FROM (
+        SELECT doc_id, line_no, line, CASE WHEN line <> '' THEN {_LEVEL} END AS lv, CASE WHEN line <> '' THEN {_TITLE} END AS title FROM (
+          SELECT doc_id, i - 1 AS line_no, {duck.strip('ls[i]')} AS line FROM (
+            SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs)))))""",
+    sects="""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS section, CASE WHEN s = 0 THEN 'Introduction' ELSE title END AS title,
+        CASE WHEN s = 0 THEN 0 ELSE lv END AS level, coalesce(content, '') AS content FROM (
+      SELECT doc_id, s, max(title) AS title, max(lv) AS lv, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE lv IS NULL) AS content,
+        max(line_no) FILTER (WHERE line <> '') AS last FROM (
+        SELECT *, count(lv) OVER (PARTITION BY doc_id ORDER BY line_no) AS s FROM heads) GROUP BY doc_id, s)
+      WHERE s > 0 OR last >= 5""",
+)
+
+
+@register(
+    "sections",
+    sql(
+        f"""SELECT doc_id, section, title, CAST(level AS BIGINT) AS level, {duck.strip('content')} AS content,
+          (SELECT max(e.section) FROM sects e WHERE e.doc_id = f.doc_id AND e.section < f.section AND e.level < f.level) AS parent_section FROM sects f""",
+        **SECTIONS,
+    ),
+)
 def _(t: Catalog):
-    return st.sections(t.documents)
+    return long_of(st.sections(t.documents), "section", "level", "parent_section")
 
 
 @register("text_tables")
@@ -54,9 +90,23 @@ def _(t: Catalog):
     return text_of(st.figures(t.documents), "mentions")
 
 
-@register("document_profile")
+@register(
+    "document_profile",
+    sql(
+        f"""SELECT doc_id, word_count, CAST(ceil(word_count / 200) AS BIGINT) AS reading_minutes, n_sections, has_contents, has_references, has_appendix, reading_ease, level, language,
+          CAST(least(100, greatest(0, 50 + (word_count > 500)::INT * 10 + (word_count > 2000)::INT * 10 + (n_sections > 3)::INT * 10 + has_references::INT * 5
+            + has_contents::INT * 5 + (grade BETWEEN 8 AND 16)::INT * 10 + (level IN ('intermediate', 'advanced'))::INT * 5)) AS BIGINT) AS quality_score
+        FROM (SELECT d.doc_id, coalesce(w.n, 0) AS word_count, coalesce(k.n, 0) AS n_sections, {_any(st.CONTENTS, 'd.text')} AS has_contents,
+            {_any(st.REFERENCES, 'd.text')} AS has_references, {_any(st.APPENDIX, 'd.text')} AS has_appendix, r.reading_ease, r.grade, f.level, g.language
+          FROM docs d JOIN readab r USING (doc_id) JOIN diffs f USING (doc_id) JOIN langs g USING (doc_id)
+          LEFT JOIN (SELECT doc_id, count(*) AS n FROM ctoks GROUP BY doc_id) w USING (doc_id)
+          LEFT JOIN (SELECT doc_id, count(*) AS n FROM sects f WHERE NOT EXISTS (SELECT 1 FROM sects e WHERE e.doc_id = f.doc_id AND e.section < f.section AND e.level < f.level)
+            GROUP BY doc_id) k USING (doc_id))""",
+        **SECTIONS, **METRICS, **LANGS,
+    ),
+)
 def _(t: Catalog):
-    return x.document_profile(t.documents)
+    return long_of(x.document_profile(t.documents), "reading_minutes", "n_sections")
 
 
 @register("normalise_local_terms")
