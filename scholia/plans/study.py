@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from scholia.functions import text as fx
@@ -109,9 +111,38 @@ def _(t: Catalog):
     return long_of(x.document_profile(t.documents), "reading_minutes", "n_sections")
 
 
-@register("normalise_local_terms")
+def _local_sql() -> tuple[str, str]:
+    """The rewritten text and the terms found, rule by rule. Word edges make one look-ahead idle; the other is kept as a group."""
+    text, hits = "text", []
+    rule = lambda p, f: q((f"(?{f})" if f else "") + p)
+    for term, expansion, category in lt.default_terms():
+        p = rule(lt._pattern(term), lt._flags(category))
+        hits.append(f"CASE WHEN regexp_matches(text, {p}) THEN regexp_extract(text, {p}) END")
+        if category != "slang":
+            text = f"regexp_replace({text}, {p}, {q(expansion)}, 'g')"
+    for pattern, expansion, flags in lt.PHRASE_RULES:
+        ahead = re.search(r"\(\?=(.*)\)$", pattern)
+        if ahead:
+            pattern, expansion = pattern[: ahead.start()] + f"({ahead[1]})", expansion + "\\1"
+        text = f"regexp_replace({text}, {rule(pattern.removesuffix('(?![a-z])'), flags)}, {q(expansion)}, 'g')"
+    return text, "[" + ", ".join(hits) + "]"
+
+
+_LOCAL_TEXT, _LOCAL_HITS = _local_sql()
+
+
+@register(
+    "normalise_local_terms",
+    sql(f"""SELECT doc_id, md5(fresh) AS text, array_to_string(found, '|') AS expansions, CAST(codes AS BIGINT) AS n_codes,
+              round(greatest(0.5, 1 - (len(found) + codes) / greatest(words, 1) * 0.1), 6) AS confidence
+            FROM (SELECT doc_id, {_LOCAL_TEXT} AS fresh, len(regexp_extract_all(text, {q(ex.COURSE_CODE)})) AS codes, len(regexp_split_to_array(text, '\\s+')) AS words,
+                list_filter(hits, lambda h, i: list_position(list_transform(hits, lambda g: lower(g)), lower(h)) = i) AS found
+              FROM (SELECT doc_id, text, list_filter({_LOCAL_HITS}, lambda h: h IS NOT NULL) AS hits FROM docs))"""),
+)
 def _(t: Catalog):
-    return lt.normalise_local_terms(t.documents)
+    out = lt.normalise_local_terms(t.documents)
+    found = F.array_join(F.transform("expansions", lambda e: e["original"]), "|")
+    return out.select("doc_id", F.md5("text").alias("text"), found.alias("expansions"), F.size("course_codes").cast("long").alias("n_codes"), "confidence")
 
 
 @register(
