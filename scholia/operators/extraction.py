@@ -584,12 +584,9 @@ def reasoning_steps(docs: DataFrame) -> DataFrame:
         tx.sentences("text"),
         lambda s: F.struct((F.position(s, F.col("text")) - 1).alias("start"), s.alias("s")),
     )
-    rows = (
-        docs.where(F.length(tx.strip("text")) >= 50)
-        .select("doc_id", "text", F.explode(F.concat(*parts)).alias("g"))
-        .where(F.length("g.two") >= 5)
-        .withColumn("_s", F.filter(at, lambda s: s["start"] >= 0))
-    )
+    # sentences are placed once per document, before its matches become rows
+    ready = docs.where(F.length(tx.strip("text")) >= 50).select("doc_id", "text", F.filter(at, lambda s: s["start"] >= 0).alias("_s"))
+    rows = ready.select("doc_id", "_s", F.explode(F.concat(*parts)).alias("g")).where(F.length("g.two") >= 5)
     home = F.get(
         F.filter(
             "_s",

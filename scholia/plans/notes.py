@@ -34,6 +34,12 @@ SELECT doc_id, concat('The ', segment, ' order ', doc_id, ' causes a delay of ',
   'Figure ', figure, ': chart of totals for order ', doc_id) AS text
 FROM {fields}
 """
+CASE = """
+SELECT doc_id, concat('If order ', doc_id, ' is late then stock is short, therefore customer ', claim, ' waits longer.', chr(10),
+  'Most orders of ', segment, ' ship late, hence stock rises ', days, ' units.', chr(10),
+  'The buyer ', claim, ' waits because order ', doc_id, ' is late.') AS text
+FROM {fields}
+"""
 _DUCK_FIELDS = FIELDS.replace("{orders}", "orders").replace("{customer}", "customer")
 _DUCK_NOTES = NOTE.replace("{fields}", "fields")
 
@@ -43,6 +49,10 @@ def _notes(t: Catalog) -> DataFrame:
     return t.spark.sql(NOTE, fields=fields)
 
 
+def _cases(t: Catalog) -> DataFrame:
+    return t.spark.sql(CASE, fields=t.spark.sql(FIELDS, orders=t.orders, customer=t.customer))
+
+
 def _sql(body: str) -> str:
     return sql(body, fields=_DUCK_FIELDS, docs=_DUCK_NOTES)
 
@@ -112,6 +122,39 @@ def _(t: Catalog):
     return ex.causal_relations(_notes(t)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@register(
+    "reasoning_steps_of_orders",
+    _sql("""SELECT doc_id, CAST(1 AS BIGINT) AS rank, 'conditional' AS type, concat('order ', doc_id, ' is late') AS premise,
+              concat('stock is short, therefore customer ', claim, ' waits longer') AS conclusion, 0.95 AS confidence, CAST(3 AS BIGINT) AS n_evidence, '' AS fallacies FROM fields
+            UNION ALL SELECT doc_id, 2, 'causal', 'order', concat(doc_id, ' is late'), 0.85, 3, '' FROM fields
+            UNION ALL SELECT doc_id, 3, 'deductive', 'implicit', concat('customer ', claim, ' waits longer'), 0.8, 3, '' FROM fields""").replace("0.95 AS", "0.95::DOUBLE AS"),
+)
+def _(t: Catalog):
+    out = ex.reasoning_steps(_cases(t))
+    return out.withColumns({"rank": F.col("rank").cast("long"), "n_evidence": F.col("n_evidence").cast("long"), "fallacies": F.array_join("fallacies", "|")})
+
+
+@register(
+    "inferences_of_orders",
+    _sql("""SELECT doc_id, CAST(0 AS BIGINT) AS sent_idx, 'Modus Ponens' AS rule, 'deductive' AS type, concat('order ', doc_id, ' is late|stock is short') AS premises,
+              concat('customer ', claim, ' waits longer') AS conclusion FROM fields
+            UNION ALL SELECT doc_id, 1, 'Inductive Generalization', 'inductive', concat('Most orders of ', segment, ' ship late,'), concat('stock rises ', days, ' units.') FROM fields
+            UNION ALL SELECT doc_id, 2, 'Causal Inference', 'causal', concat('order ', doc_id, ' is late.'), concat('The buyer ', claim, ' waits') FROM fields"""),
+)
+def _(t: Catalog):
+    return ex.inferences(_cases(t)).withColumns({"sent_idx": F.col("sent_idx").cast("long"), "premises": F.array_join("premises", "|")})
+
+
+@register(
+    "answers_of_orders",
+    _sql("""SELECT doc_id AS question_id, concat('The ', segment, ' order ', doc_id, ' causes a delay of ', days, ' days') AS answer, 0.8::DOUBLE AS confidence FROM fields"""),
+)
+def _(t: Catalog):
+    notes = _notes(t)
+    questions = notes.select(F.col("doc_id").alias("question_id"), "doc_id", F.lit("What did the order bring about?").alias("question"))
+    return ex.answers(questions, notes)
+
+
 @register(
     "orphans_of_first_year",
     sql("""SELECT course_code, count(*) AS n_rows FROM materials WHERE course_code NOT IN (SELECT code FROM courses WHERE year = 1 AND code IS NOT NULL)
