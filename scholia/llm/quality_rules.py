@@ -5,7 +5,8 @@ are stored. From them come mergeable quantile sketches: for each language, sourc
 measure a histogram over buckets of at most 1/8 relative width, whose counts simply add up.
 The fence of a measure is its upper quartile plus WIDTH times the spread (the distance of
 the quartiles, at least the measure's least spread); the fences are joined back to the
-documents. Hot languages or sources cost nothing: histograms are combined before the shuffle.
+documents. Hot languages or sources cost nothing: histograms are combined before the shuffle,
+and the fences are broadcast where they are few and salted where they are many.
 
 Defined results: null or empty text has no words and fails the base rule; null language or
 source is a group of its own; ties at a fence are kept; repeated rows each give a row; an
@@ -24,6 +25,8 @@ LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 WIDTH = 3
 #: Measures in thousandths of the words, and the least spread of each.
 MEASURES = {"symbol_rate": 40, "exclaim_rate": 60}
+#: Groups up to which the fences are sent to all tasks; beyond that their rows are copied for so many salts.
+MOST_GROUPS, SALTS = 20_000, 64
 SPACES = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -137,9 +140,16 @@ def _judged(documents: DataFrame) -> DataFrame:
     verdict = ~F.col("base_failed")
     for w in within:
         verdict = verdict & w
-    joined = measured.withColumns({"lang_group": _group("lang"), "source_group": _group("source")}).join(
-        fences(sketches(measured)), ["lang_group", "source_group"], "left"
-    )
+    grouped = measured.withColumns({"lang_group": _group("lang"), "source_group": _group("source")})
+    limits = stored(fences(sketches(measured)), "quality-fences")
+    keys = ["lang_group", "source_group"]
+    if limits.count() <= MOST_GROUPS:
+        limits = F.broadcast(limits)  # at most MOST_GROUPS rows
+    else:  # hot groups are dealt over SALTS tasks
+        limits = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        grouped = grouped.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
+        keys.append("salt")
+    joined = grouped.join(limits, keys, "left")
     return joined.withColumn("base_failed", failed).withColumn("kept", verdict)
 
 
