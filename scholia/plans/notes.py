@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.register import register_functions
 from scholia.operators import extraction as ex
+from scholia.operators import graph
 from scholia.operators import integrity as v
 from scholia.operators import structure, text
 from scholia.operators import writes as w
@@ -155,6 +156,73 @@ def _(t: Catalog):
     return ex.answers(questions, notes)
 
 
+LINKED = """
+SELECT doc_id, concat('Here Order ', doc_id, ' depends on stock ', days, '.', chr(10), 'Every ', segment, ' claim includes order ', doc_id, '.', chr(10),
+  'Assuming knowledge of ', segment, ' pricing, all is said.', chr(10), chr(10), 'Table ', figure, ': Delays of order ', doc_id, chr(10),
+  '| item | days |', chr(10), '|---|---|', chr(10), '| ', segment, ' | ', days, ' |') AS text
+FROM {fields}
+"""
+
+
+def _fields(t: Catalog) -> DataFrame:
+    return t.spark.sql(FIELDS, orders=t.orders, customer=t.customer)
+
+
+def _edges(t: Catalog) -> DataFrame:
+    """Three edges an order: one in the words' order, one against it, one that no words relate."""
+    order, stock = F.concat(F.lit("order "), "doc_id"), F.concat(F.lit("Stock "), "days")
+    claim = F.concat("segment", F.lit(" claim"))
+    pairs = F.array(*[F.struct(a.alias("source_label"), b.alias("target_label")) for a, b in ((order, stock), (order, claim), (claim, stock))])
+    named = _fields(t).select("doc_id", F.posexplode(pairs).alias("source", "p"))
+    return named.select("doc_id", "source", "p.*")
+
+
+def _linked(t: Catalog) -> DataFrame:
+    return t.spark.sql(LINKED, fields=_fields(t))
+
+
+@register(
+    "edge_relations_of_orders",
+    _sql("""SELECT doc_id, CAST(source AS BIGINT) AS source, ['depends_on', 'part_of', 'related_to'][source + 1] AS relation FROM fields, range(0, 3) r(source)"""),
+)
+def _(t: Catalog):
+    found = graph.edge_relations(_edges(t), _linked(t))
+    return found.select("doc_id", F.col("source").cast("long"), "relation")
+
+
+@register(
+    "topic_order_of_orders",
+    _sql("""SELECT doc_id, concat('Order ', doc_id) AS topic, CAST(2 AS BIGINT) AS n_prerequisites, CAST(2 AS BIGINT) AS position FROM fields
+            UNION ALL SELECT doc_id, concat('stock ', days), 0, 0 FROM fields UNION ALL SELECT doc_id, concat(segment, ' claim'), 0, 1 FROM fields"""),
+)
+def _(t: Catalog):
+    """An order needs its stock and its claim, so it comes last although it is ranked first."""
+    topics = F.array(F.concat(F.lit("Order "), "doc_id"), F.concat(F.lit("stock "), "days"), F.concat("segment", F.lit(" claim")))
+    ranked = _fields(t).select("doc_id", F.posexplode(topics).alias("rank", "topic"))
+    out = graph.topic_order(ranked, graph.edge_relations(_edges(t), _linked(t)))
+    return out.select("doc_id", "topic", "n_prerequisites", F.col("position").cast("long"))
+
+
+@register(
+    "prerequisites_of_orders",
+    _sql("SELECT doc_id, CAST(0 AS BIGINT) AS rank, concat(segment, ' pricing, all is said') AS prerequisite FROM fields"),
+)
+def _(t: Catalog):
+    none = t.spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS ARRAY<STRING>) AS _topics WHERE false")
+    return ex.prerequisites(_linked(t), none).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(
+    "text_tables_of_orders",
+    _sql("""SELECT doc_id, CAST(1 AS BIGINT) AS "table", 'captioned' AS kind, concat('Delays of order ', doc_id) AS title, CAST(r AS BIGINT) AS "row", CAST(c AS BIGINT) AS col,
+              CASE WHEN r = 0 THEN ['item', 'days'][c + 1] WHEN c = 0 THEN segment ELSE CAST(days AS VARCHAR) END AS value
+            FROM fields, range(0, 2) a(r), range(0, 2) b(c)"""),
+)
+def _(t: Catalog):
+    cells = structure.text_tables(_linked(t)).drop("caption")
+    return cells.withColumns({c: F.col(c).cast("long") for c in ("table", "row", "col")})
+
+
 @register(
     "orphans_of_first_year",
     sql("""SELECT course_code, count(*) AS n_rows FROM materials WHERE course_code NOT IN (SELECT code FROM courses WHERE year = 1 AND code IS NOT NULL)
