@@ -7,14 +7,17 @@
    space: each task multiplies its rows with a random matrix and back, the products add up,
    and a small factorisation on the driver ends it (one pass, Nystroem form).
 3. Windows of three steps of STEP words are latent vectors, sums of their words' vectors.
-   Window and item are candidates when their cosine and the share of the item that the
-   window covers in the latent space are large. Windows whose length alone rules that out
-   are left out (Cauchy-Schwarz), which loses none.
-4. Candidates are checked by the longest common subsequence of words of item and the text
-   around the window, and by the item's answer: its last sentence.
-
-Items are taken in blocks of at most BLOCK, so that what is broadcast stays bounded at any
-number of items; each block is a search over all documents.
+   The targets are the items and, of items longer than a passage, also their parts of at
+   most PASSAGE words each, as no window covers much of a long item. Window and target are
+   candidates when their cosine and the share of the target that the window covers in the
+   latent space are large. Windows whose length alone rules that out are left out
+   (Cauchy-Schwarz), which loses none.
+4. Candidates are checked by the longest common subsequence of words of the whole item and
+   the text around the window, and by the item's answer: its last sentence. Windows of a
+   text that lie within an eighth of the item of each other are checked together.
+
+Items are taken in blocks of about BLOCK (long ones count for more), so that what is broadcast
+stays bounded at any number of items; each block is a search over all documents.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z as a-z.
 
@@ -45,12 +48,14 @@ COSINE, COVERED, COMMON_WORDS, WITH_ANSWER = 0.3, 0.3, 0.55, 0.4
 
 
 class Items(NamedTuple):
-    """The items of a block: word numbers of each, its answer's, and the sorted codes of all words."""
+    """The items of a block: word numbers of each, its answer's, the sorted codes of all words; word numbers and item of each target."""
 
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
     codes: np.ndarray
+    targets: list[list[int]]
+    owner: list[int]
 
 
 def _numbers(texts: list[str], codes: np.ndarray) -> list[list[int]]:
@@ -59,6 +64,12 @@ def _numbers(texts: list[str], codes: np.ndarray) -> list[list[int]]:
     return [at[a:b] for a, b in zip(words.first, words.first[1:])]
 
 
+def _parts_of(words: list[int]) -> list[list[int]]:
+    """The item and, where it is longer than a passage, its even parts of at most PASSAGE words."""
+    n = -(-len(words) // PASSAGE)
+    return [words, *[words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n if n > 1 else 0)]]
+
+
 def read_items(rows: list[tuple[int, str]]) -> Items:
     texts = [t or "" for _, t in rows]
     words = words_of(as_texts(pa.array(texts, pa.string())), lower=True, loose=True)
@@ -67,7 +78,9 @@ def read_items(rows: list[tuple[int, str]]) -> Items:
     ids = [i for (i, _), keep in zip(rows, long) if keep]
     texts = [t for t, keep in zip(texts, long) if keep]
     answers = [re.split(r"(?<=[.!?])\s+", t.strip())[-1] for t in texts]
-    return Items(ids, _numbers(texts, codes), _numbers(answers, codes), codes)
+    numbers = _numbers(texts, codes)
+    targets = [(part, i) for i, item in enumerate(numbers) for part in _parts_of(item)]
+    return Items(ids, numbers, _numbers(answers, codes), codes, [t for t, _ in targets], [i for _, i in targets])
 
 
 def encode(documents: DataFrame, codes: np.ndarray) -> DataFrame:
@@ -148,7 +161,7 @@ def weigh(encoded: DataFrame, items: Items, kind: str) -> np.ndarray:
         held[r["number"]] = r["n"]
     total, share = held[n], held[:n]
     keep = share <= COMMON * max(total, 1)
-    for words in items.words:
+    for words in items.targets:
         distinct = np.unique(words)
         keep[distinct[np.argsort(share[distinct], kind="stable")][: (len(distinct) + 1) // 2]] = True
     return np.where(keep, np.log((total + 1) / (share + 1)) + 1, 0)
@@ -201,7 +214,7 @@ def latent_space(encoded: DataFrame, items: Items, weights: np.ndarray, kind: st
         product[r["part"] : r["part"] + len(block)] = block
         squares += r["squares"]
     own, passages, numbers = np.zeros((n, wide)), [], []
-    for i, words in enumerate(items.words):
+    for i, words in enumerate(items.targets):
         distinct = np.unique(words)
         passages.append(np.full(len(distinct), i))
         numbers.append(distinct)
@@ -241,7 +254,7 @@ def _search_block(documents: DataFrame, items: Items) -> DataFrame:
     weights = weigh(encoded, items, kind)
     space = latent_space(encoded, items, weights, kind)
     latent = (space * weights[:, None]).astype(np.float32)
-    wanted = np.stack([latent[np.unique(w)].sum(axis=0) for w in items.words])
+    wanted = np.stack([latent[np.unique(w)].sum(axis=0) for w in items.targets])
     shared = encoded.sparkSession.sparkContext.broadcast((items, latent, wanted, weights > 0))  # words of BLOCK items x RANK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +266,7 @@ def _search_block(documents: DataFrame, items: Items) -> DataFrame:
             flat = _flat(batch, kind)
             live = np.flatnonzero(heavy[flat.number])
             best: dict[tuple[int, int], tuple] = {}
+            checked: dict[tuple[int, int, int], tuple[float, bool]] = {}
             if len(live):
                 # one vector for each step with a word of weight; windows are it and the two steps after it
                 step_of, step, number = flat.of[live], flat.place[live] // STEP, flat.number[live]
@@ -271,22 +285,29 @@ def _search_block(documents: DataFrame, items: Items) -> DataFrame:
                     windows[there] += steps[at[there]]
                 size = np.linalg.norm(windows, axis=1)
                 near = np.flatnonzero(size >= least)
-                for a in range(0, len(near), 2048):
-                    rows = near[a : a + 2048]
+                many = max(16, min(2048, (1 << 22) // len(length)))
+                for a in range(0, len(near), many):
+                    rows = near[a : a + many]
                     dots = windows[rows] @ unit
                     cosine, covered = dots / size[rows, None], dots / length
                     for i, j in np.argwhere((cosine >= COSINE) & (covered >= COVERED)).tolist():
                         doc, at = int(key[rows[i]] >> 40), int(key[rows[i]] & ((1 << 40) - 1)) * STEP
-                        item = block.words[j]
-                        lo, hi = np.searchsorted(flat.of, (doc, doc + 1))
-                        span = lo + np.searchsorted(flat.place[lo:hi], (at - len(item), at + 3 * STEP + len(item)))
-                        words, places = flat.number[span[0] : span[1]].tolist(), flat.place[span[0] : span[1]].tolist()
-                        share = common_subsequence(item, words) / len(item)
-                        answer = len(block.answers[j]) >= 3 and _has_run(words, places, block.answers[j])
+                        t = block.owner[j]
+                        item = block.words[t]
+                        grain = max(1, len(item) // 8 // STEP) * STEP  # windows this near share one check
+                        near_by = (doc, t, at // grain)
+                        if near_by not in checked:
+                            lo, hi = np.searchsorted(flat.of, (doc, doc + 1))
+                            begin = at // grain * grain
+                            span = lo + np.searchsorted(flat.place[lo:hi], (begin - len(item), begin + grain + 2 * STEP + len(item)))
+                            words, places = flat.number[span[0] : span[1]].tolist(), flat.place[span[0] : span[1]].tolist()
+                            share = common_subsequence(item, words) / len(item)
+                            checked[near_by] = share, len(block.answers[t]) >= 3 and _has_run(words, places, block.answers[t])
+                        share, answer = checked[near_by]
                         if share >= COMMON_WORDS or answer and share >= WITH_ANSWER:
                             row = (share, float(cosine[i, j]), float(covered[i, j]), answer, at, at + 3 * STEP)
-                            if (doc, j) not in best or row > best[doc, j]:
-                                best[doc, j] = row
+                            if (doc, t) not in best or row > best[doc, t]:
+                                best[doc, t] = row
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[d], block.ids[j], c, v, s, x, a, b) for (d, j), (s, c, v, x, a, b) in best.items()]
             columns = list(zip(*rows)) if rows else [()] * len(names)
@@ -300,8 +321,8 @@ def _search_block(documents: DataFrame, items: Items) -> DataFrame:
 
 def search(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, cosine, covered, common_words, answer_found, first_word, last_word."""
-    n = benchmark.count()
-    blocks = max(1, -(-n // block))
+    size = F.greatest(F.lit(1), F.ceil(F.char_length("text") / (8 * PASSAGE)))  # about the passages of an item
+    blocks = max(1, -(-(benchmark.agg(F.sum(F.coalesce(size, F.lit(1)))).first()[0] or 0) // block))
     named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     found = None
     for b in range(blocks):

@@ -155,6 +155,22 @@ def test_paraphrase_and_blocks(spark, given):
         assert got == {(1, 7), (2, 7)}
 
 
+def test_long_passages(spark, given):
+    """Items far longer than a window: whole and in large part they are found, a smaller part is not."""
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprstv" for b in ("ain", "el", "ior", "om", "un") for c in ("dax", "fep", "gim", "lor", "nuv", "tas", "zek", "wib")]
+    rng = np.random.default_rng(5)
+    items = {n: [str(w) for w in rng.choice(words, n)] for n in (170, 300, 500, 2_000)}
+    filler = "plain words that say little about birds " * 30
+    rows = [(n, filler + " ".join(w) + " " + filler) for n, w in items.items()]
+    rows += [(10_000 + n, filler + " ".join(w[n // 5 : n // 5 + n * 3 // 5]) + " " + filler) for n, w in items.items()]
+    rows += [(20_000 + n, filler + " ".join(w[: n // 5]) + " " + filler) for n, w in items.items()]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").unionByName(given.select(F.col("doc_id") + 100_000, "text").toDF("doc_id", "text"))
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    for block in (1_000, 1):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.search(documents, benchmark, block).collect()}
+        assert got == {(n, n) for n in items} | {(10_000 + n, n) for n in items}
+
+
 def test_passages_of_nothing(nothing, odd, spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.search(odd, benchmark).count() == 0
