@@ -16,13 +16,18 @@
    the text around the window, and by the item's answer: its last sentence. Windows of a
    text that lie within an eighth of the item of each other are checked together.
 
+Items of fewer than LEAST_WORDS words have no latent vector: they are found where all their
+words stand in a row, in the same stored table.
+
 Items are taken in blocks of about BLOCK (long ones count for more), so that what is broadcast
 stays bounded at any number of items; each block is a search over all documents.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z as a-z.
 
-Defined results: null or empty texts and items match nothing; items of fewer than LEAST_WORDS
-words match nothing; repeated rows of a document give one finding an item; an empty table
+Defined results: null or empty texts and items, and items without a word, match nothing;
+short items have null cosine and covered; an item with a null item_id is searched like any
+other and its finding has a null item_id; repeated rows of a document, and items that share an
+item_id (null is one id), give one finding, the one with the most common words; an empty table
 gives no findings; other columns are ignored.
 """
 
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import as_texts, prepare, slices, stored, texts_of, words_of
+from scholia.llm.common import as_texts, mix, prepare, slices, stored, texts_of, words_of
 
 #: Items of a block, words of a passage and of a step, rank and oversampling of the SVD.
 BLOCK, LEAST_WORDS, PASSAGE, STEP, RANK, MORE = 1_000, 8, 48, 16, 96, 8
@@ -48,9 +53,9 @@ COSINE, COVERED, COMMON_WORDS, WITH_ANSWER = 0.3, 0.3, 0.55, 0.4
 
 
 class Items(NamedTuple):
-    """The items of a block: word numbers of each, its answer's, the sorted codes of all words; word numbers and item of each target."""
+    """The items of a block: word numbers of each, its answer's, the sorted codes of all words; word numbers and item of each target (of long items only)."""
 
-    ids: list[int]
+    ids: list[int | None]
     words: list[list[int]]
     answers: list[list[int]]
     codes: np.ndarray
@@ -70,16 +75,16 @@ def _parts_of(words: list[int]) -> list[list[int]]:
     return [words, *[words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n if n > 1 else 0)]]
 
 
-def read_items(rows: list[tuple[int, str]]) -> Items:
+def read_items(rows: list[tuple[int | None, str]]) -> Items:
     texts = [t or "" for _, t in rows]
     words = words_of(as_texts(pa.array(texts, pa.string())), lower=True, loose=True)
-    long = np.diff(words.first) >= LEAST_WORDS
-    codes = np.unique(words.codes[long[words.of]]) if len(words.codes) else words.codes
-    ids = [i for (i, _), keep in zip(rows, long) if keep]
-    texts = [t for t, keep in zip(texts, long) if keep]
+    worded = np.diff(words.first) > 0
+    codes = np.unique(words.codes)
+    ids = [i for (i, _), keep in zip(rows, worded) if keep]
+    texts = [t for t, keep in zip(texts, worded) if keep]
     answers = [re.split(r"(?<=[.!?])\s+", t.strip())[-1] for t in texts]
     numbers = _numbers(texts, codes)
-    targets = [(part, i) for i, item in enumerate(numbers) for part in _parts_of(item)]
+    targets = [(part, i) for i, item in enumerate(numbers) if len(item) >= LEAST_WORDS for part in _parts_of(item)]
     return Items(ids, numbers, _numbers(answers, codes), codes, [t for t, _ in targets], [i for _, i in targets])
 
 
@@ -160,7 +165,9 @@ def weigh(encoded: DataFrame, items: Items, kind: str) -> np.ndarray:
     for r in rows:
         held[r["number"]] = r["n"]
     total, share = held[n], held[:n]
-    keep = share <= COMMON * max(total, 1)
+    sought = np.zeros(n, bool)  # words of short items alone have no part in the latent space
+    sought[[w for words in items.targets for w in words]] = True
+    keep = sought & (share <= COMMON * max(total, 1))
     for words in items.targets:
         distinct = np.unique(words)
         keep[distinct[np.argsort(share[distinct], kind="stable")][: (len(distinct) + 1) // 2]] = True
@@ -248,17 +255,57 @@ def _has_run(words: list[int], places: list[int], run: list[int]) -> bool:
     return any(words[i : i + k] == run and places[i + k - 1] - places[i] == k - 1 for i in range(len(words) - k + 1))
 
 
+def short_runs(items: Items) -> dict[int, tuple[np.ndarray, list[list[int]]]]:
+    """By length: the sorted hashes of the short items' words, and the items of each hash."""
+    by: dict[int, dict[int, list[int]]] = {}
+    for j, words in enumerate(items.words):
+        if len(words) < LEAST_WORDS:
+            by.setdefault(len(words), {}).setdefault(int(_run_hashes(np.array(words), len(words))[0]), []).append(j)
+    return {k: (np.array(sorted(held), np.uint64), [held[h] for h in sorted(held)]) for k, held in by.items()}
+
+
+def _run_hashes(number: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k numbers in a row."""
+    n = len(number) - k + 1
+    out = np.zeros(n, np.uint64)
+    for i in range(k):
+        out = mix(out + number[i : i + n].astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def _short_hits(flat: Flat, items: Items, runs: dict[int, tuple[np.ndarray, list[list[int]]]]) -> dict[tuple[int, int], int]:
+    """The first place in each document of each short item whose words stand there in a row."""
+    first: dict[tuple[int, int], int] = {}
+    for k, (hashes, of) in runs.items():
+        if len(flat.of) < k:
+            continue
+        n = len(flat.of) - k + 1
+        whole = (flat.of[:n] == flat.of[k - 1 :]) & (flat.place[k - 1 :] - flat.place[:n] == k - 1)
+        found = _run_hashes(flat.number, k)
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        hits = np.flatnonzero(whole & (hashes[at] == found))
+        _, fresh = np.unique(flat.of[hits] * np.int64(len(hashes)) + at[hits], return_index=True)
+        for i in hits[fresh].tolist():
+            for j in of[at[i]]:
+                if items.words[j] == flat.number[i : i + k].tolist():
+                    first[int(flat.of[i]), j] = int(flat.place[i])
+    return first
+
+
 def _search_block(documents: DataFrame, items: Items) -> DataFrame:
     kind = "<u2" if len(items.codes) < 1 << 16 else "<u4"
     encoded = stored(encode(documents, items.codes), "passage-words")
-    weights = weigh(encoded, items, kind)
-    space = latent_space(encoded, items, weights, kind)
-    latent = (space * weights[:, None]).astype(np.float32)
-    wanted = np.stack([latent[np.unique(w)].sum(axis=0) for w in items.targets])
-    shared = encoded.sparkSession.sparkContext.broadcast((items, latent, wanted, weights > 0))  # words of BLOCK items x RANK
+    if items.targets:
+        weights = weigh(encoded, items, kind)
+        space = latent_space(encoded, items, weights, kind)
+        latent = (space * weights[:, None]).astype(np.float32)
+        wanted = np.stack([latent[np.unique(w)].sum(axis=0) for w in items.targets])
+    else:
+        weights, latent, wanted = np.zeros(len(items.codes)), np.zeros((len(items.codes), 1), np.float32), np.zeros((1, 1), np.float32)
+    shared = encoded.sparkSession.sparkContext.broadcast((items, latent, wanted, weights > 0, short_runs(items)))  # words of BLOCK items x RANK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, vectors, goal, heavy = shared.value
+        block, vectors, goal, heavy, runs = shared.value
         length = np.maximum(np.linalg.norm(goal, axis=1), 1e-9)
         unit, least = (goal / length[:, None]).T, float(length.min()) * COVERED
         names = ["doc_id", "item_id", "cosine", "covered", "common_words", "answer_found", "first_word", "last_word"]
@@ -308,6 +355,8 @@ def _search_block(documents: DataFrame, items: Items) -> DataFrame:
                             row = (share, float(cosine[i, j]), float(covered[i, j]), answer, at, at + 3 * STEP)
                             if (doc, t) not in best or row > best[doc, t]:
                                 best[doc, t] = row
+            for (doc, j), at in _short_hits(flat, block, runs).items():
+                best[doc, j] = (1.0, None, None, len(block.answers[j]) >= 3, at, at + len(block.words[j]))
             ids = batch.column("doc_id").to_pylist()
             rows = [(ids[d], block.ids[j], c, v, s, x, a, b) for (d, j), (s, c, v, x, a, b) in best.items()]
             columns = list(zip(*rows)) if rows else [()] * len(names)
@@ -327,7 +376,7 @@ def search(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Da
     found = None
     for b in range(blocks):
         rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about block items
-        items = read_items(sorted((r["item_id"], r["text"] or "") for r in rows if r["item_id"] is not None))
+        items = read_items(sorted(((r["item_id"], r["text"] or "") for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
         if items.ids:
             part = _search_block(documents, items)
             found = part if found is None else found.unionByName(part)
@@ -335,4 +384,6 @@ def search(documents: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Da
         return documents.sparkSession.createDataFrame(
             [], "doc_id long, item_id long, cosine double, covered double, common_words double, answer_found boolean, first_word long, last_word long"
         )
-    return found.dropDuplicates(["doc_id", "item_id"])
+    rest = ["common_words", "cosine", "covered", "answer_found", "first_word", "last_word"]
+    one = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(*rest)).alias("x"))
+    return one.select(*[F.col(c) if c in one.columns else F.col(f"x.{c}").alias(c) for c in found.columns])

@@ -171,6 +171,24 @@ def test_long_passages(spark, given):
         assert got == {(n, n) for n in items} | {(10_000 + n, n) for n in items}
 
 
+def test_short_and_unnamed_passages(spark):
+    """Items under eight words are found as a run of all their words; items without an id are searched too."""
+    item = "Seven bright kestrels circled above the abandoned observatory while torrential moonlight painted every crumbling parapet silver."
+    filler = "plain words that say little about birds " * 30
+    texts = [filler + "Quo vadis, DOMINE? " + filler, filler + "quo domine vadis " + filler, filler + item, filler + "axolotl", "quo vadis", None, "domine", "Quo\nvadis domine and an axolotl quo vadis domine"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    short = [(1, "Quo vadis, domine?"), (2, "axolotl"), (3, "vadis domine"), (4, " ?! "), (5, None), (None, None), (1, "axolotl")]
+    want = {(0, 1, 0.0), (0, 3, 0.0), (3, 2, 0.0), (3, 1, 0.0), (7, 1, 0.0), (7, 2, 0.0), (7, 3, 0.0)}
+    for rows, more in ((short, set()), ([*short, (None, item), (None, item + " Nobody")], {(2, None, 1.0)})):
+        benchmark = spark.createDataFrame(rows, "item_id long, text string")
+        for block in (1_000, 1):
+            got = decontaminate.search(documents, benchmark, block).collect()
+            assert len(got) == len(want | more)
+            assert {(r.doc_id, r.item_id, float(r.cosine is not None)) for r in got} == want | more
+            place = {(r.doc_id, r.item_id): (r.first_word, r.last_word) for r in got}
+            assert place[0, 1] == (210, 213) and place[7, 3] == (1, 3)
+
+
 def test_passages_of_nothing(nothing, odd, spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.search(odd, benchmark).count() == 0
