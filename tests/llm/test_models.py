@@ -66,6 +66,16 @@ def test_network(spark):
     assert said[labels].mean() >= 0.9 and said[~labels].mean() <= 0.05
 
 
+def test_network_from_rare_findings(spark):
+    """Findings in few of many documents still give a network, as all documents are looked at."""
+    rows = [(i, f"order 2024-01-{i % 28:02}-{i:012} was sent by host{i:013}.example", ) for i in range(3_000)]
+    rows += [(10_000 + i, f"password: {hashlib.sha1(str(i).encode()).hexdigest()[:20]} end") for i in range(30)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    net = secret_scan.learn(documents, sample=300)
+    assert net is not None
+    assert secret_scan.learn(documents.where("doc_id < 10010"), sample=300) is None
+
+
 def test_secrets_query(spark):
     from scholia.llm.queries import QUERIES
 
