@@ -76,6 +76,21 @@ def test_network_from_rare_findings(spark):
     assert secret_scan.learn(documents.where("doc_id < 10010"), sample=300) is None
 
 
+def test_short_and_letter_candidates(spark):
+    """Short and all-letter values after a sign or quote are candidates, and every base finding is a label."""
+    shown = lambda t: [t[a:b] for a, b in secret_scan.candidates(t)]
+    assert shown("pwd: Hunter2abc") == ["Hunter2abc"] and shown("key = 'correcthorsebattery'") == ["correcthorsebattery"]
+    assert shown("word=abcde, plain words of prose") == [] and shown("pin=abc123def456ghi789 x") == ["pin=abc123def456ghi789"]
+    assert [x[2] for x in secret_scan.labelled("AKIA" + "B" * 16 + " " + "abcdef" * 4)] == [True, True]
+    letters = lambda i, n: "".join("abcdefghijklmnopqrstuvwxyz"[(i * 7 + k * k) % 26] for k in range(n))
+    learnt = [(i, f"password: {letters(i, 8)} end" if i % 2 else f"host: {letters(i, 12)}.example") for i in range(80)]
+    net = secret_scan.learn(spark.createDataFrame(learnt, "doc_id long, text string"))
+    assert net is not None
+    rows = [(1, "pwd: Hunter2abc")]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), net._replace(threshold=0.0)).first().findings
+    assert [tuple(f) for f in found] == [("model", 5, 15)]
+
+
 def test_secrets_query(spark):
     from scholia.llm.queries import QUERIES
 
