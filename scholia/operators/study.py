@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scholia.functions import lexicon
 from scholia.functions import text as tx
 from scholia.operators.extraction import definitions, entities, formulas
-from scholia.operators.graph import concept_edges, concept_nodes, edge_relations, quoted, topic_order
+from scholia.operators.graph import REFERENCE_PHRASES, concept_edges, concept_nodes, edge_relations, quoted, topic_order
 from scholia.operators.text import (
     by_document,
     domain_array,
@@ -652,7 +652,7 @@ def study_path(docs: DataFrame) -> DataFrame:
 
     ready = docs.where(F.length(tx.strip("text")) >= 50)
     topics = key_topics(ready, 10)
-    nodes = concept_nodes(ready, with_definitions=False)
+    nodes = concept_nodes(ready, with_definitions=False, phrases=REFERENCE_PHRASES)
     edges = edge_relations(concept_edges(ready, nodes), ready)
     ordered = topic_order(topics, edges)
     topic_list = ranked_list(topics, "topic", "_topics")

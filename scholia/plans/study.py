@@ -498,17 +498,17 @@ GRAPH = {
 
 @register("concept_nodes", sql("SELECT doc_id, node, label, type, weight, owns_stem FROM nodes", **GRAPH))
 def _(t: Catalog):
-    out = g.concept_nodes(t.documents, with_definitions=False).drop("stem")
+    out = g.concept_nodes(t.documents, with_definitions=False, phrases=g.REFERENCE_PHRASES).drop("stem")
     return long_of(out, "node")
 
 
 @register("concept_definitions")
 def _(t: Catalog):
-    return g.concept_nodes(t.documents).where("definition is not null").select("doc_id", "node", "label", "definition")
+    return g.concept_nodes(t.documents, phrases=g.REFERENCE_PHRASES).where("definition is not null").select("doc_id", "node", "label", "definition")
 
 
 def _graph(t: Catalog):
-    nodes = cut_lineage(g.concept_nodes(t.documents, with_definitions=False))
+    nodes = cut_lineage(g.concept_nodes(t.documents, with_definitions=False, phrases=g.REFERENCE_PHRASES))
     return nodes, cut_lineage(g.concept_edges(t.documents, nodes))
 
 

@@ -280,6 +280,14 @@ def test_shuffle_is_a_permutation():
     assert study.shuffle_order(0) == study.shuffle_order(0)
 
 
+def test_concept_nodes_of_long_texts(docs):
+    text = " ".join(f"The solar panel{chr(97 + i % 26)}{chr(97 + i // 26)} was with them." for i in range(40))
+    labels = lambda **limit: {n.label for n in g.concept_nodes(docs(text), with_definitions=False, **limit).collect()}
+    late = {x for x in labels() if x.startswith("solar panel")}
+    assert "solar panelnb" in late and len(late) == 40
+    assert {x for x in labels(phrases=20) if x.startswith("solar panel") and " " in x} < late
+
+
 def test_concept_graph(docs):
     nodes = g.concept_nodes(docs(TEXT))
     assert {"photosynthesis"} <= {n.label for n in nodes.collect()}
