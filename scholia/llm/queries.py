@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, decontaminate, jaccard, language, quality_model, quality_rules, secret_scan, sharding, substrings, token_counts
+from scholia.llm import bpe, decontaminate, jaccard, language, merkle, quality_model, quality_rules, secret_scan, sharding, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,9 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, and what is left without repeated passages."""
     left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(merkle.ORACLE)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and where a tampered text leads."""
+    return merkle.audit(table(spark, sf_dir, "documents"), merkle.without_line_breaks())
