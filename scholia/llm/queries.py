@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, decontaminate, jaccard, language, merkle, quality_model, quality_rules, secret_scan, sharding, substrings, token_counts
+from scholia.llm import bpe, decontaminate, divergence, jaccard, language, merkle, mixture, quality_model, quality_rules, secret_scan, sharding, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,16 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, roots and proof, and where a tampered text leads."""
     return merkle.audit(table(spark, sf_dir, "documents"), merkle.without_line_breaks())
+
+
+@query(mixture.ORACLE)
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources takes."""
+    mixed = mixture.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query(divergence.ORACLE)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language are from each other, and the terms that set each apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
