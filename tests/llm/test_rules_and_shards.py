@@ -58,7 +58,36 @@ def test_many_groups(odd, given, monkeypatch):
 def test_buckets(spark):
     values = [*range(40), 1000, 1023, 1024, 123_456_789]
     for v, edge in spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket(F.col("v"))).collect():
-        assert v <= edge <= v + max(0, v // 8) and (v > 15 or edge == v)
+        assert v <= edge <= v + max(0, v // 32) and (v > 63 or edge == v)
+
+
+def test_fences_follow_their_group(spark):
+    """Long words in one source, short ones in another; small groups are judged by their language's sketch."""
+    from tests.llm.conftest import SCHEMA
+
+    words = lambda n, i: " ".join("abcdefghijklmnop"[: n + (i + k) % 3] + str(k) for k in range(60))
+    rows = [(i, words(9 if i % 2 else 3, i), "en", f"s{i % 2}", 0) for i in range(400)]
+    odd = {
+        1_000: ("en", "s0", words(18, 0), False), 1_001: ("en", "s1", words(10, 0), True), 1_002: ("en", "s1", words(1, 0)[:120] + " a" * 90, False),
+        1_003: ("en", "own", words(3, 0) + " $" * 120, False), 1_004: ("xx", "own", "tick " * 10 + words(5, 0), False), 1_005: ("xx", None, words(5, 0), True),
+        1_006: ("en", "s0", "\n".join(f"line {k} of text" if k < 4 else "again and so on" for k in range(20)) + words(4, 0), False),
+    }
+    rows += [(i, text, lang, source, 0) for i, (lang, source, text, _) in odd.items()]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].fence_word_length < got[1].fence_word_length and got[0].floor_word_length < got[1].floor_word_length
+    assert all(got[i].kept for i in range(400))
+    assert got[1_003].fence_symbol_rate == got[1_004].fence_symbol_rate == 120  # not a fence of its own
+    for i, (*_, kept) in odd.items():
+        assert got[i].kept == kept, got[i]
+
+
+def test_labelled_documents(spark, given):
+    """Documents labelled good stay unless the base rule drops them; those labelled bad go."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/labels.parquet").collect()}
+    rows = quality_rules.judge(spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet")).collect()
+    good = [r for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
+    assert sum(r.kept for r in good) >= 0.99 * len(good)
+    assert not any(r.kept for r in rows if labels.get(r.doc_id) == 0)
 
 
 def test_native(spark, given):
