@@ -89,7 +89,7 @@ def read_items(rows: list[tuple[int | None, str]]) -> Items:
 
 
 def encode(documents: DataFrame, codes: np.ndarray) -> DataFrame:
-    """Per document: doc_id, n_words, and of its known words the step from the last one and the number (binary, 16 bits)."""
+    """Per document: doc_id, n_words, and of its known words the step from the last one and the number (binary)."""
     shared = prepare(documents.sparkSession).sparkContext.broadcast(codes)  # at most the words of BLOCK items
     kind = "<u2" if len(codes) < 1 << 16 else "<u4"
 
@@ -104,7 +104,7 @@ def encode(documents: DataFrame, codes: np.ndarray) -> DataFrame:
             step = np.diff(place, prepend=0)
             heads = first[:-1][first[:-1] < first[1:]]
             step[heads] = place[heads]
-            step = np.minimum(step, 65_535).astype("<u2")  # farther apart than any window either way
+            step = step.astype("<u4")
             number = at[hit].astype(kind)
             spans = list(zip(first.tolist(), first[1:].tolist()))
             yield pa.RecordBatch.from_arrays(
@@ -128,7 +128,7 @@ class Flat(NamedTuple):
 
 
 def _flat(batch: pa.RecordBatch, kind: str) -> Flat:
-    steps = [np.frombuffer(x, "<u2") for x in batch.column("steps").to_pylist()]
+    steps = [np.frombuffer(x, "<u4") for x in batch.column("steps").to_pylist()]
     number = np.frombuffer(b"".join(batch.column("numbers").to_pylist()), kind).astype(np.int64)
     of = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
     place = np.concatenate([np.cumsum(s, dtype=np.int64) for s in steps]) if steps else np.zeros(0, np.int64)
