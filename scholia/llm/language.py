@@ -12,7 +12,8 @@ and doc_id are never inputs of a prediction.
 
 Defined results: null text or a text without a letter is und with score 0; a null doc_id is
 never learnt from; with nothing learnable all are und; equal cosines go to the first language
-by name; repeated rows each give a row; other columns are ignored.
+by name; repeated rows each give a row, and are learnt from once; an empty table gives no rows; a very long
+text is counted as a whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import as_texts, hash_sample, prepare, slices
+from scholia.llm.common import as_texts, prepare, slices, stored
 
 FOLDS, HELD_OUT = 4, 2
 #: Length of the vectors; sample documents and centroids of each language.
@@ -106,7 +107,7 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def learn(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    spark = prepare(documents.sparkSession)
+    prepare(documents.sparkSession)
     learnable = documents.where((fold() != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,27 +125,34 @@ def learn(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS
     n = held.get(BUCKETS, 0)
     weights = np.log((1 + n) / (1 + np.array([held.get(b, 0) for b in range(BUCKETS)]))) + 0.1
 
-    # the sample is chosen from ids alone; its texts come with a second, filtered scan
-    sizes = {r["lang"]: r["n"] for r in learnable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    named = learnable.select("doc_id", "lang")
+    # the sample is chosen from ids alone; the counts of its texts, not the texts, come with a second, filtered scan
     hashed = F.xxhash64(F.lit(11), "doc_id")
-    ids = [
-        r["doc_id"] for lang in sorted(sizes)
-        for r in hash_sample(named.where(F.col("lang") == lang), hashed, sample, sizes[lang]).collect()
-    ]  # sample rows a language; fmt: skip
-    if not ids:
-        return Model([], weights, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
-    wanted = spark.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long").coalesce(1)
-    has_letter = _has_letter()
-    rows = learnable.join(F.broadcast(wanted), "doc_id").select("lang", "text").collect()
-    by: dict[str, list[str]] = {}
-    for lang, text in sorted((r["lang"], r["text"]) for r in rows):
-        if has_letter(text):
-            by.setdefault(lang, []).append(text)
+    place = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    share = F.lit(2.0 * sample + 100) / F.count("*")  # ids far above the bound to be expected stay out of the ranking
+    bound = F.when(share < 0.99, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("_bound")
+    sizes = learnable.groupBy(F.col("lang").alias("_of")).agg(bound)
+    near = learnable.select("lang", "doc_id").join(F.broadcast(sizes), F.col("lang") == F.col("_of")).where(hashed <= F.col("_bound"))
+    ids = near.select("lang", "doc_id").distinct().withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= sample)
+    wanted = stored(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "language-sample")  # sample rows a language
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has_letter = _has_letter()
+        for batch in _blocks(batches):
+            texts = batch.column("text").to_pylist()
+            found = counts(texts).astype("<f4")
+            packed = [row.tobytes() if has_letter(t) else None for row, t in zip(found, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(packed, pa.binary())], names=["lang", "doc_id", "counts"])
+
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))
+    chosen = learnable.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), same, "left_semi")
+    vectors_of = chosen.mapInArrow(sparse, "lang string, doc_id long, counts binary").groupBy("lang", "doc_id").agg(F.max("counts").alias("counts"))
+    by: dict[str, list[np.ndarray]] = {}
+    for r in vectors_of.orderBy("lang", "doc_id").collect():  # sample vectors of BUCKETS numbers a language
+        if r["counts"] is not None:
+            by.setdefault(r["lang"], []).append(np.frombuffer(r["counts"], "<f4"))
     languages, centers, of, radius = sorted(by), [], [], []
     for i, lang in enumerate(languages):
-        texts = by[lang][: 2 * sample]  # repeated ids give more rows
-        x = np.concatenate([vectors(counts(texts[a : a + ROWS]), weights) for a in range(0, len(texts), ROWS)])
+        x = vectors(np.stack(by[lang]), weights)
         c = cluster(x, centroids)
         distance = 1 - (x @ c.T).max(axis=1)
         centers.append(c)
