@@ -26,9 +26,11 @@ ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids dropped: the ids, not the texts, are the side that is held in memory."""
-    ids = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"] == ids["_dropped"], "left_anti")
+    """docs without the ids dropped. The ids are stored, so that their size is known: Spark sends few to the texts."""
+    from scholia.llm.common import stored
+
+    ids = stored(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    return docs.join(ids, docs["doc_id"] == ids["_dropped"], "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
