@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
+from scholia.operators.neighbours import nearest
 from scholia.session import cut_lineage
 
 # Similarity bands of the recommendation reasons.
@@ -88,37 +89,42 @@ def mirrored(pairs: DataFrame) -> DataFrame:
 
 
 def similar_materials(
-    weights: DataFrame, k: int = 6, min_score: float = RELATED, allowed: DataFrame | None = None
+    weights: DataFrame, k: int = 6, min_score: float = 0.0, allowed: DataFrame | None = None, items: DataFrame | None = None
 ) -> DataFrame:
-    """Top-k most similar items per item with cosine >= min_score.
+    """Top-k most similar items per item, exactly and at any score above zero.
 
     Exact copies are compared once: only one of a group of equal vectors enters
-    the join, and its first k + 1 members stand for the group, which is all a
-    top-k can use. ``allowed`` (doc_id) restricts what may be recommended.
+    the search, and its first k + 1 members stand for the group, which is all a
+    top-k can use. ``allowed`` (doc_id) restricts what may be recommended, ``items`` (doc_id)
+    for whom; ``min_score`` leaves out weaker partners.
     """
     weights = cut_lineage(weights)
     groups = cut_lineage(copy_groups(weights))
     vectors = cut_lineage(
-        unit_vectors(weights.join(groups.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi"))
+        unit_vectors(weights.join(groups.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")).where("u > 0")
     )
-    near = mirrored(similar_pairs(vectors, min_score)).select("item", "other", "similarity")
     eligible = groups if allowed is None else groups.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    wanted = groups if items is None else groups.join(items.select("doc_id"), "doc_id", "left_semi")
+    # a neighbour without an eligible member must not use up a place
+    reps = lambda g: g.select(F.col("rep").alias("doc_id")).distinct()
+    partners = vectors if allowed is None else cut_lineage(vectors.join(reps(eligible), "doc_id", "left_semi"))
+    seekers = vectors if items is None else cut_lineage(vectors.join(reps(wanted), "doc_id", "left_semi"))
+    near = nearest(seekers, partners, k + 1).where(F.col("similarity") >= min_score)
     first = W.partitionBy("rep").orderBy("doc_id")
     members = (
         eligible.withColumn("_m", F.row_number().over(first))
         .where(F.col("_m") <= k + 1)
         .select(F.col("rep").alias("other"), F.col("doc_id").alias("id"), "_m")
     )
-    # a neighbour without an eligible member must not use up a place
     useful = near.join(members.where("_m = 1").select("other", F.col("id").alias("_first")), "other")
     lead = W.partitionBy("item").orderBy(F.desc(F.round("similarity", 9)), "_first")
     best = useful.withColumn("_r", F.row_number().over(lead)).where(F.col("_r") <= k + 1)
-    own = groups.select(F.col("rep").alias("item")).distinct().select("item", F.col("item").alias("other"), F.lit(1.0).alias("similarity"))
+    own = wanted.select(F.col("rep").alias("item")).distinct().select("item", F.col("item").alias("other"), F.lit(1.0).alias("similarity"))
     pool = best.select("item", "other", "similarity").unionByName(own).join(members.drop("_m"), "other")
     score = F.round("similarity", 9)
     place = W.partitionBy("item").orderBy(F.desc(score), "id")
     listed = pool.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k + 1)
-    all_items = groups.select(F.col("rep").alias("item"), F.col("doc_id").alias("for_id"))
+    all_items = wanted.select(F.col("rep").alias("item"), F.col("doc_id").alias("for_id"))
     again = W.partitionBy("for_id").orderBy(F.desc(score), "id")
     return (
         all_items.join(listed.select("item", "id", "similarity"), "item")
@@ -129,8 +135,20 @@ def similar_materials(
     )
 
 
+def similar_in_course(weights: DataFrame, materials: DataFrame, k: int = 6) -> DataFrame:
+    """Top-k among the materials (doc_id, course_code) of an item's own course; items without a course choose among all.
+
+    A course's stems are words of their own, so that only its members share lists.
+    """
+    weights = cut_lineage(weights.join(materials.select("doc_id", "course_code"), "doc_id"))
+    own = weights.where(F.col("course_code").isNotNull())
+    scoped = own.select("doc_id", F.concat(F.col("course_code").cast("string"), F.lit(" "), "stem").alias("stem"), "weight")
+    loose = materials.where(F.col("course_code").isNull()).select("doc_id")
+    return similar_materials(scoped, k).unionByName(similar_materials(weights.drop("course_code"), k, items=loose))
+
+
 def related_by_format(
-    weights: DataFrame, materials: DataFrame, papers: bool, k: int = 5, min_score: float = RELATED
+    weights: DataFrame, materials: DataFrame, papers: bool, k: int = 5, min_score: float = 0.0
 ) -> DataFrame:
     """Similar items that are past papers or exams, or that are not."""
     is_paper = F.coalesce(F.lower("type").rlike(PAPER_TYPES), F.lit(False))

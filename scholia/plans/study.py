@@ -581,7 +581,7 @@ REC = dict(
     unit=UNIT,
     sims="SELECT a.doc_id AS id, b.doc_id AS other_id, sum(a.u * b.u) AS similarity, count(*) AS shared FROM unit a JOIN unit b ON a.stem = b.stem AND a.doc_id <> b.doc_id GROUP BY ALL",
     near_="SELECT * FROM sims WHERE similarity >= 0.3",
-    top6="SELECT id, other_id, similarity, row_number() OVER (PARTITION BY id ORDER BY round(similarity, 9) DESC, other_id) AS rank FROM near_ QUALIFY rank <= 6",
+    top6="SELECT id, other_id, similarity, row_number() OVER (PARTITION BY id ORDER BY round(similarity, 9) DESC, other_id) AS rank FROM sims QUALIFY rank <= 6",
 )
 
 
@@ -603,6 +603,17 @@ def _(t: Catalog):
     return r.similar_materials(_weights(t)).withColumn("similarity", F.round("similarity", 6))
 
 
+@register(
+    "similar_in_course",
+    sql("""SELECT s.id, row_number() OVER (PARTITION BY s.id ORDER BY round(s.similarity, 9) DESC, s.other_id) AS rank, s.other_id, round(s.similarity, 6) AS similarity
+           FROM sims s JOIN material_text a ON a.doc_id = s.id JOIN material_text b ON b.doc_id = s.other_id
+           WHERE a.course_code IS NULL OR a.course_code = b.course_code QUALIFY rank <= 6""", **REC),
+)
+def _(t: Catalog):
+    out = r.similar_in_course(_weights(t), t.material_text.select("doc_id", "course_code"))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 def _about(t: Catalog):
     return t.material_text.select(F.col("doc_id").alias("id"), "course_code", "type", "tags")
 
@@ -666,7 +677,7 @@ def _(t: Catalog):
 @register(
     "related_by_format",
     sql("""SELECT n.id, n.other_id, round(n.similarity, 6) AS similarity, row_number() OVER (PARTITION BY n.id ORDER BY round(n.similarity, 9) DESC, n.other_id) AS rank
-           FROM near_ n JOIN material_text m ON m.doc_id = n.other_id WHERE m.type IN ('PROMO', 'SMALL') QUALIFY rank <= 5""", **REC),
+           FROM sims n JOIN material_text m ON m.doc_id = n.other_id WHERE m.type IN ('PROMO', 'SMALL') QUALIFY rank <= 5""", **REC),
 )
 def _(t: Catalog):
     papers = t.material_text.withColumn("type", F.when(F.col("type").isin("PROMO", "SMALL"), "Past Paper").otherwise("Notes"))
