@@ -354,8 +354,18 @@ def held_out_shapes(documents: DataFrame, sample: int = SAMPLE) -> dict[str, tup
     return out
 
 
-def scan(documents: DataFrame, net: Network | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, the columns of keep, findings (array of kind, start, end)."""
+def _marked(text: str, findings: list[dict], mark: str) -> str:
+    """The text with mark in place of each finding; findings that overlap become one mark."""
+    pieces, at = [], 0
+    for x in findings:
+        if x["start"] >= at:
+            pieces += [text[at : x["start"]], mark]
+        at = max(at, x["end"])
+    return "".join([*pieces, text[at:]])
+
+
+def scan(documents: DataFrame, net: Network | None, keep: tuple[str, ...] = (), mark: str | None = None) -> DataFrame:
+    """Per document: doc_id, the columns of keep, findings (array of kind, start, end); with mark, text is given redacted."""
     shared = prepare(documents.sparkSession).sparkContext.broadcast(net)  # some thousand weights
     kept = [f for f in documents.schema if f.name in keep and f.name not in ("doc_id", "text", "findings")]
     names = ["doc_id", *[f.name for f in kept], *(["text"] if "text" in keep else [])]
@@ -376,7 +386,10 @@ def scan(documents: DataFrame, net: Network | None, keep: tuple[str, ...] = ())
                     if chance >= network.threshold:
                         found[i].append((a, 3, b))
             rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(f)] for f in found]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(rows, kind)], names=[*names, "findings"])
+            columns = {n: batch.column(n) for n in names}
+            if mark is not None and "text" in columns:
+                columns["text"] = pa.array([_marked(t, f, mark) for t, f in zip(columns["text"].to_pylist(), rows)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(rows, kind)], names=[*names, "findings"])
 
     schema = "doc_id long, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
     schema += ("text string, " if "text" in keep else "") + "findings array<struct<kind:string,start:long,end:long>>"
@@ -392,12 +405,7 @@ def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
             texts = batch.column(place).to_pylist()
             for i, found in enumerate(batch.column("findings").to_pylist()):
                 if found:
-                    pieces, at = [], 0
-                    for x in found:
-                        if x["start"] >= at:
-                            pieces += [texts[i][at : x["start"]], mark]
-                        at = max(at, x["end"])
-                    texts[i] = "".join([*pieces, texts[i][at:]])
+                    texts[i] = _marked(texts[i], found, mark)
             columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 

@@ -41,6 +41,8 @@ def test_base_findings(odd, spark):
 def test_redacted(odd):
     kept = secret_scan.redact(secret_scan.scan(odd, None, keep=("text", "lang")))
     got = {r.doc_id: r.text for r in kept.collect()}
+    marked = secret_scan.scan(odd, None, keep=("text", "lang"), mark="[secret]")
+    assert sorted(map(str, marked.select("doc_id", "text").collect())) == sorted(map(str, kept.select("doc_id", "text").collect()))
     assert got[17] == "[secret] and [secret]".replace("[secret] and", '[secret]" and')
     assert got[18] == "[secret] token=abc [secret]"
     assert got[8] == "one two" and got[5] == "" and got[6] == ""
