@@ -45,8 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(docs, secret_scan.learn(docs), keep=tuple(docs.columns))
-    clean = secret_scan.redact(found)
+    clean = secret_scan.scan(docs, secret_scan.learn(docs), keep=tuple(docs.columns), mark="[secret]")
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
