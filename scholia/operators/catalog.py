@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scholia.operators.ordering import positions
+
 # Statuses a reader may see, and the stages still open to owners.
 VISIBLE = ("ready", "processing", "catalog_only")
 PUBLISHED = ("ready", "catalog_only")
@@ -216,6 +218,54 @@ def visible_rows(
     )
 
 
+def row_audiences(materials: DataFrame, statuses: Sequence[str] = VISIBLE) -> DataFrame:
+    """Each row once with its ``audience``: ``all``, ``owner`` (the uploader and admins) or ``admin`` (no uploader)."""
+    public = F.coalesce(F.col("status").isin(*statuses), F.lit(False))
+    return materials.withColumn(
+        "audience", F.when(public, "all").when(F.col("uploaded_by").isNotNull(), "owner").otherwise("admin")
+    )
+
+
+def visible_totals(
+    viewers: DataFrame, materials: DataFrame, roles: DataFrame, statuses: Sequence[str] = VISIBLE
+) -> DataFrame:
+    """Per viewer (``viewer``) the number of rows they may read and the sum of their ids.
+
+    Rows meet viewers by audience: public rows are summed once, hidden ones by uploader, and
+    an admin takes both whole, so viewers times rows is never formed. A viewer of several roles is an admin
+    if one of them is; a null or repeated viewer keeps its rows.
+    """
+    held = row_audiences(materials, statuses)
+    size = F.struct(F.count("*").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids"))
+    public = held.where("audience = 'all'").agg(size).scalar()
+    hidden = held.where("audience <> 'all'").agg(size).scalar()
+    own = held.where("audience = 'owner'").groupBy(F.col("uploaded_by").alias("viewer")).agg(size.alias("_own"))
+    admins = roles.where("role = 'admin'").select(F.col("user_id").alias("viewer"), F.lit(True).alias("_admin")).distinct()
+    joined = viewers.join(own, "viewer", "left").join(admins, "viewer", "left").withColumns(
+        {"_public": public, "_hidden": hidden}
+    )
+
+    def total(part: str) -> Column:
+        extra = F.when(F.col("_admin"), F.col(f"_hidden.{part}")).otherwise(F.coalesce(f"_own.{part}", F.lit(0)))
+        return F.col(f"_public.{part}") + extra
+
+    return joined.select(*viewers.columns, total("n").alias("n_rows"), total("ids").alias("id_sum"))
+
+
+def own_first_moves(programmes: DataFrame, profiles: DataFrame) -> DataFrame:
+    """For every profile the programme that moves to the front (``own``) and the place it leaves (``moved_from``).
+
+    All viewers share one order by name and code, from 1; a viewer's own order is that
+    with one programme moved, so orders are kept as one table and one move a viewer. Both are
+    null where the profile names no known programme.
+    """
+    place = positions(programmes.select("code", "name"), [], [F.col("name"), F.col("code")], "_place")
+    moves = place.select(F.col("code").alias("own"), (F.col("_place") + 1).alias("moved_from"))
+    return profiles.select("id", F.col("programme_code").alias("_p")).join(
+        moves, F.col("_p") == F.col("own"), "left"
+    ).drop("_p")
+
+
 def visible_children(
     children: DataFrame, materials: DataFrame, statuses: Sequence[str] = PUBLISHED
 ) -> DataFrame:

@@ -132,6 +132,25 @@ def _(t: Catalog):
     return c.visible_rows(t.materials, 50, t.user_roles).select("id", "status")
 
 
+@register(
+    "row_audiences",
+    sql(f"""SELECT id, uploaded_by, CASE WHEN status IN {VIS} THEN 'all' WHEN uploaded_by IS NOT NULL THEN 'owner' ELSE 'admin' END AS audience
+            FROM materials"""),
+)
+def _(t: Catalog):
+    return c.row_audiences(t.materials).select("id", "uploaded_by", "audience")
+
+
+@register(
+    "visible_rows_by_viewer",
+    sql(f"""SELECT p.id AS viewer, count(m.id) AS n_rows, CAST(coalesce(sum(m.id), 0) AS BIGINT) AS id_sum
+            FROM (SELECT id, EXISTS (SELECT 1 FROM user_roles r WHERE r.user_id = profiles.id AND r.role = 'admin') AS admin FROM profiles) p
+            LEFT JOIN materials m ON m.status IN {VIS} OR p.admin OR m.uploaded_by = p.id GROUP BY p.id"""),
+)
+def _(t: Catalog):
+    return c.visible_totals(t.profiles.select(F.col("id").alias("viewer")), t.materials, t.user_roles)
+
+
 @register(
     "visible_children",
     sql("""SELECT id, material_id FROM flashcards WHERE material_id IN
@@ -347,6 +366,15 @@ def _(t: Catalog):
     return c.own_first_order(t.programmes, t.profiles, 7)
 
 
+@register(
+    "own_first_by_viewer",
+    sql("""SELECT v.id, p.code AS own, p.moved_from FROM profiles v
+           LEFT JOIN (SELECT code, row_number() OVER (ORDER BY name, code) AS moved_from FROM programmes) p ON p.code = v.programme_code"""),
+)
+def _(t: Catalog):
+    return c.own_first_moves(t.programmes, t.profiles)
+
+
 # --- roll-ups ---------------------------------------------------------------
 
 

@@ -524,24 +524,45 @@ def _(t: Catalog):
     return g.edge_relations(edges, t.documents).select("doc_id", "source", "target", "relation")
 
 
-MIN_LINK = 40
+#: Rounds of merging that the checking SQL spells out; the query ends as soon as no merge gains.
+MERGE_ROUNDS = 16
+
+
+def _merging(rounds: int) -> dict[str, str]:
+    out = {
+        "slinks": """SELECT least(a.stem, b.stem) AS a, greatest(a.stem, b.stem) AS b, CAST(sum(e.weight) AS HUGEINT) AS w FROM edges e
+          JOIN nodes a ON a.doc_id = e.doc_id AND a.node = e.source JOIN nodes b ON b.doc_id = e.doc_id AND b.node = e.target WHERE a.stem <> b.stem GROUP BY 1, 2""",
+        "arcs": "SELECT a, b, w FROM slinks UNION ALL SELECT b, a, w FROM slinks",
+        "total2": "SELECT sum(w) AS m2 FROM arcs",
+        "lab0": "SELECT DISTINCT a AS node, a AS component FROM arcs",
+    }
+    for r in range(rounds):
+        out[f"arc{r}"] = f"""SELECT x.component AS a, y.component AS b, sum(w) AS w FROM arcs JOIN lab{r} x ON x.node = arcs.a
+          JOIN lab{r} y ON y.node = arcs.b GROUP BY 1, 2"""
+        out[f"deg{r}"] = f"SELECT a, sum(w) AS d FROM arc{r} GROUP BY a"
+        out[f"best{r}"] = f"""SELECT q.a, q.b FROM arc{r} q JOIN deg{r} s ON s.a = q.a JOIN deg{r} t ON t.a = q.b, total2
+          WHERE q.a <> q.b AND m2 * q.w > s.d * t.d QUALIFY row_number() OVER (PARTITION BY q.a ORDER BY m2 * q.w - s.d * t.d DESC, q.b) = 1"""
+        out[f"lab{r + 1}"] = f"""SELECT l.node, CASE WHEN v.b = f.b THEN least(f.b, u.b) ELSE l.component END AS component FROM lab{r} l
+          LEFT JOIN best{r} f ON f.a = l.component LEFT JOIN best{r} u ON u.a = f.b LEFT JOIN best{r} v ON v.a = u.b"""
+    return out
 
 
 @register(
     "concept_clusters",
     sql(
-        """SELECT component, count(*) AS n_nodes FROM comps GROUP BY component""",
+        f"""SELECT component, n_nodes, label, summary FROM (SELECT component, count(*) AS n_nodes FROM lab{MERGE_ROUNDS} GROUP BY component)
+            JOIN (SELECT component, max(CASE WHEN r = 1 THEN stem END) AS label, string_agg(stem, ', ' ORDER BY r) AS summary FROM placed_ WHERE r <= 5 GROUP BY component)
+            USING (component)""",
         **GRAPH,
-        links=f"""SELECT least(a.stem, b.stem) AS a, greatest(a.stem, b.stem) AS b FROM edges e JOIN nodes a ON a.doc_id = e.doc_id AND a.node = e.source
-                 JOIN nodes b ON b.doc_id = e.doc_id AND b.node = e.target GROUP BY 1, 2 HAVING sum(e.weight) >= {MIN_LINK}""",
-        two_way="SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b",
-        reach="SELECT a AS node, a AS seen FROM links UNION SELECT b, b FROM links UNION SELECT r.node, w.b FROM reach r JOIN two_way w ON w.a = r.seen",
-        comps="SELECT node, min(seen) AS component FROM reach GROUP BY node",
+        **_merging(MERGE_ROUNDS),
+        heavy="SELECT stem, sum(weight) AS weight FROM nodes WHERE owns_stem GROUP BY stem",
+        placed_=f"""SELECT component, stem, row_number() OVER (PARTITION BY component ORDER BY weight DESC, stem) AS r
+                    FROM lab{MERGE_ROUNDS} JOIN heavy ON stem = node""",
     ),
 )
 def _(t: Catalog):
     nodes, edges = _graph(t)
-    return g.concept_clusters(edges, nodes, MIN_LINK).select("component", "n_nodes")
+    return g.concept_clusters(edges, nodes)
 
 
 @register(
