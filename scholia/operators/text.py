@@ -500,8 +500,8 @@ def sentence_terms(docs: DataFrame) -> DataFrame:
     )
 
 
-def topic_clusters(docs: DataFrame) -> DataFrame:
-    """Sentences grouped by the frequent term they use most; up to 8 per document."""
+def topic_clusters(docs: DataFrame, samples: int = 5) -> DataFrame:
+    """Sentences grouped by the frequent term they use most; up to 8 per document, with their first ``samples`` sentences."""
     placed = by_document(docs)
     long_enough = placed.withColumn("_n", F.size(tx.sentences("text"))).where(F.col("_n") >= 3)
     terms = sentence_terms(long_enough)
@@ -536,12 +536,27 @@ def topic_clusters(docs: DataFrame) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("_k", "stem"))), lambda w: w["stem"]).alias("keywords")
         )
     )
-    sizes = long_enough.select("doc_id", "_n")
+    nth = W.partitionBy("doc_id", "label").orderBy("sent_idx")
+    sampled = (
+        assigned.withColumn("_k", F.row_number().over(nth))
+        .where(F.col("_k") <= samples)
+        .groupBy("doc_id", "label")
+        .agg(F.array_sort(F.collect_list("sent_idx")).alias("_at"))
+    )
+    # sentences are split again beside the text, so that only places travel
+    whole = long_enough.select("doc_id", "_n", tx.sentences("text").alias("_all"))
     return (
         kept.join(cluster_words, ["doc_id", "label"])
-        .join(sizes, "doc_id")
+        .join(sampled, ["doc_id", "label"])
+        .join(whole, "doc_id")
         .select(
-            "doc_id", "rank", "label", "n_sentences", (F.col("n_sentences") / F.col("_n")).alias("weight"), "keywords"
+            "doc_id",
+            "rank",
+            "label",
+            "n_sentences",
+            (F.col("n_sentences") / F.col("_n")).alias("weight"),
+            "keywords",
+            F.transform("_at", lambda i: F.get("_all", i)).alias("sentences"),
         )
     )
 

@@ -338,8 +338,11 @@ def _(t: Catalog):
 @register(
     "topic_clusters",
     sql(
-        """SELECT c.doc_id, c.rank, c.label, c.n AS n_sentences, round(c.n / z.n, 6) AS weight, k.keywords
-           FROM clus c JOIN (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id) z USING (doc_id)
+        """SELECT c.doc_id, c.rank, c.label, c.n AS n_sentences, round(c.n / z.n, 6) AS weight, k.keywords, p.sentences
+           FROM clus c JOIN (SELECT a.doc_id, a.label, string_agg(s.sentence, '|' ORDER BY s.sent_idx) AS sentences
+             FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY sent_idx) AS r FROM assigned) a
+             JOIN sents s ON s.doc_id = a.doc_id AND s.sent_idx = a.sent_idx WHERE r <= 5 GROUP BY a.doc_id, a.label) p
+           ON p.doc_id = c.doc_id AND p.label = c.label JOIN (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id) z ON z.doc_id = c.doc_id
            JOIN (SELECT doc_id, label, string_agg(stem, ',' ORDER BY a, b) AS keywords FROM (
              SELECT s.doc_id, s.label, t.stem, min(t.sent_idx) AS a, arg_min(t.first, t.sent_idx) AS b FROM assigned s JOIN sfirst t USING (doc_id, sent_idx)
              GROUP BY s.doc_id, s.label, t.stem QUALIFY row_number() OVER (PARTITION BY s.doc_id, s.label ORDER BY a, b) <= 10) GROUP BY doc_id, label) k
@@ -355,7 +358,11 @@ def _(t: Catalog):
 )
 def _(t: Catalog):
     return x.topic_clusters(t.documents).withColumns(
-        {"weight": F.round("weight", 6), "keywords": F.array_join("keywords", ",")}
+        {
+            "weight": F.round("weight", 6),
+            "keywords": F.array_join("keywords", ","),
+            "sentences": F.array_join("sentences", "|"),
+        }
     )
 
 
