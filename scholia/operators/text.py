@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import lexicon
 from scholia.functions import text as tx
-from scholia.session import prepare, work_partitions
+from scholia.session import cut_lineage, prepare, work_partitions
 
 
 def by_document(docs: DataFrame, *cols: str) -> DataFrame:
@@ -45,7 +45,7 @@ def stem_vocabulary(toks: DataFrame) -> DataFrame:
 
 def term_frequency(docs: DataFrame) -> DataFrame:
     """Stem counts. Surface forms are counted first, so each is stemmed once per document."""
-    surface = content_tokens(docs).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    surface = content_tokens(by_document(docs)).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     return surface.groupBy("doc_id", tx.stem("token").alias("stem")).agg(F.sum("n").alias("tf"))
 
 
@@ -54,7 +54,8 @@ def document_frequency(tf: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame) -> DataFrame:
-    tf = term_frequency(by_document(docs))
+    """Stem counts weighed by their rarity; the counts are stored, as both the weights and the document counts read them."""
+    tf = cut_lineage(term_frequency(docs))
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     weight = F.col("tf") * (F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
     return tf.join(document_frequency(tf), "stem").select("doc_id", "stem", "tf", weight.alias("weight"))
@@ -107,11 +108,13 @@ def keywords(docs: DataFrame, n: int = 10, corpus_idf: bool = False) -> DataFram
 
     Words are weighted by tf, or by tf-idf over the whole table with
     ``corpus_idf``. A word is left out when a chosen phrase has its stem.
+    The few chosen phrases are stored, as the words are held against them twice;
+    so are the counted forms where document counts are drawn from them.
     """
     placed = by_document(docs)
     budget = -(-n // 2)
     best = W.partitionBy("doc_id").orderBy(F.desc("score"), "size", "first_pos")
-    phrases = (
+    phrases = cut_lineage(
         gram_counts(placed, 2, 3)
         .where(F.col("n") >= 2)
         .withColumn("score", (F.col("n") * F.col("size")).cast("double"))
@@ -121,6 +124,7 @@ def keywords(docs: DataFrame, n: int = 10, corpus_idf: bool = False) -> DataFram
     )
     forms = stem_forms(placed)
     if corpus_idf:
+        forms = cut_lineage(forms)
         n_docs = docs.agg(F.count("*").alias("n")).scalar()
         forms = forms.join(forms.groupBy("stem").agg(F.count("*").alias("df")), "stem")
         score = F.round(F.col("tf") * (F.log((n_docs + 1) / (F.col("df") + 1)) + 1), 9)
