@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scholia.operators.containment import contained_in
 from scholia.operators.ordering import positions
 
 DAY = 86_400
@@ -405,30 +406,6 @@ def expire_stale(materials: DataFrame, as_of: str, minutes: int = 10, updated: s
 # --- topics to materials ----------------------------------------------------
 
 
-def contained_in(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (needle, id) where the needle occurs in a text, as an equi-join.
-
-    Every substring of a text that has the length of some needle is looked up,
-    so nothing is compared that does not match. The list of lengths is at most
-    as long as the longest needle.
-    """
-    wanted = needles.select("needle").where(F.col("needle") != "").distinct()
-    lengths = [r[0] for r in wanted.select(F.length("needle")).distinct().collect()]
-    if not lengths:
-        return texts.select(F.lit(None).cast("string").alias("needle"), "id").where(F.lit(False))
-    sizes = F.array(*[F.lit(n) for n in sorted(lengths)])
-    pieces = F.flatten(
-        F.transform(
-            F.filter(sizes, lambda n: n <= F.length("body")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substring("body", i, n)
-            ),
-        )
-    )
-    lookups = texts.select("id", F.explode(F.array_distinct(pieces)).alias("needle"))
-    return lookups.join(wanted, "needle").select("needle", "id")
-
-
 def _topic_matches(topics: DataFrame, materials: DataFrame, tag_in_topic: bool) -> DataFrame:
     needles = topics.select(F.lower("topic").alias("needle")).distinct()
     tags = materials.select("id", F.explode("tags").alias("t")).select("id", F.lower("t").alias("body"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators import learner as l
 from scholia.operators import writes as w
+from scholia.operators.containment import contained_in
 from scholia.plans.duck import sql
 from scholia.plans.registry import register
 from scholia.session import cut_lineage
@@ -312,6 +313,18 @@ def _(t: Catalog):
     return l.advanced_material_match(_asked(t), t.materials, _sessions(t).select("user_id", "material_id"))
 
 
+@register(
+    "topic_mentions",
+    sql("""SELECT DISTINCT lower(a.topic) AS topic, m.doc_id AS material_id
+           FROM (SELECT DISTINCT topic FROM asked) a JOIN material_text m ON a.topic <> '' AND contains(lower(m.text), lower(a.topic))""", asked=ASKED),
+)
+def _(t: Catalog):
+    """Topics met in quizzes that the whole text of a material contains."""
+    needles = _asked(t).select(F.lower("topic").alias("needle"))
+    bodies = t.material_text.select(F.col("doc_id").alias("id"), F.lower("text").alias("body"))
+    return contained_in(needles, bodies).select(F.col("needle").alias("topic"), F.col("id").alias("material_id"))
+
+
 @register("unexplored_topics", sql("SELECT user_id, rank, topic FROM unexplored", **WORDS))
 def _(t: Catalog):
     mastery = _mastery(t, _worded(t))
