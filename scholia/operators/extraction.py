@@ -7,6 +7,8 @@ tried only on documents in which its cue word occurs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -222,7 +224,8 @@ def _looks_like_formula(raw: Column) -> Column:
 def formulas(docs: DataFrame) -> DataFrame:
     """Formulas per document: inline and display math, plain, chemical, named laws.
 
-    The context of a formula is the sentence that contains it.
+    The context of a formula is the sentence that contains it. Sentences are split once a
+    text, and no copy of the text leaves the row. Null and empty texts have none.
     """
 
     def tag(step: int, found: Column) -> Column:
@@ -243,23 +246,20 @@ def formulas(docs: DataFrame) -> DataFrame:
     )
     laws = F.transform(tx.find_all("text", NAMED_LAW, 0, "i"), tx.strip)
     parts += [tag(4, plain), tag(5, chem), tag(6, laws)]
-    all_found = docs.select("doc_id", "text", F.concat(*parts).alias("_f"))
-    first = F.filter(
-        "_f", lambda f, i: ~F.exists(F.slice("_f", 1, i), lambda g: F.lower(tx.strip(g["raw"])) == F.lower(tx.strip(f["raw"])))
-    )
-    rows = all_found.select("doc_id", "text", F.posexplode(first).alias("position", "f"))
-    raw = F.col("f.raw")
+
+    def placed(first: Column) -> Column:
+        near = _bound(tx.sentences("text"), lambda ss: F.transform(first, lambda f: _surroundings(f, F.col("text"), ss)))
+        return F.when(F.size(first) > 0, near)
+
+    first = _bound(F.concat(*parts), _first_of_each)
+    rows = docs.select("doc_id", F.posexplode(_bound(first, placed)).alias("position", "f"))
+    raw, after, before = F.col("f.raw"), F.col("f.after"), F.col("f.before")
     kind = F.when(F.col("f.step") == 5, "chemical").when(F.col("f.step") == 6, "physics").otherwise(formula_class(raw))
-    at = F.position(F.col("f.near"), F.col("text"))
-    after = F.substring("text", at + F.length("f.near"), F.lit(300))
-    left = F.greatest(at - 1 - 200, F.lit(0))
-    before = F.substring("text", left + 1, at - 1 - left)
     where_ = tx.extract(after, r"where\s+(.+?)(?:[.;]|\n)", 1, "i")
     named = tx.extract(before, r"(?:formula|equation|expression)\s+for\s+(.+?)\s+(?:is|:)", 1, "i")
     described = (
         F.when(where_ != "", tx.strip(where_)).when(named != "", tx.strip(named))
     )
-    context = F.get(F.filter(tx.sentences("text"), lambda s: s.contains(F.col("f.near"))), F.lit(0))
     return rows.select(
         "doc_id",
         "position",
@@ -269,10 +269,37 @@ def formulas(docs: DataFrame) -> DataFrame:
         .otherwise(formula_variables(raw))
         .alias("variables"),
         described.alias("description"),
-        context.alias("context"),
+        F.col("f.context").alias("context"),
     )
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once a row, however often use reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_of_each(found: Column) -> Column:
+    """The matches without those whose trimmed lower-case form came before."""
+    keys = F.transform(found, lambda f: F.lower(tx.strip(f["raw"])))
+    return _bound(keys, lambda ks: F.filter(found, lambda f, i: F.array_position(ks, F.get(ks, i)) == i + 1))
+
+
+def _surroundings(f: Column, text: Column, sents: Column) -> Column:
+    """A match with its sentence, the 200 characters before it and the 300 after it."""
+
+    def around(at: Column) -> Column:
+        left = F.greatest(at - 1 - 200, F.lit(0))
+        return F.struct(
+            f["step"].alias("step"),
+            f["raw"].alias("raw"),
+            F.substring(text, left + 1, at - 1 - left).alias("before"),
+            F.substring(text, at + F.length(f["near"]), F.lit(300)).alias("after"),
+            F.get(F.filter(sents, lambda s: s.contains(f["near"])), F.lit(0)).alias("context"),
+        )
+
+    return _bound(F.position(f["near"], text), around)
+
+
 def _math_matches(step: int, pattern: str, noise: str) -> Column:
     found = F.transform(
         tx.find_all("text", pattern, 0),

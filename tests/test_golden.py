@@ -375,3 +375,16 @@ def test_swap_and_merge_summaries(spark):
         "doc_id int, chunk int, summary string")
     got = one(writes.merge_summaries(parts, 2)).summary
     assert got == "This first piece is long enough. And so is this second one"
+
+
+def test_formulas_of_a_long_text(docs):
+    """Each formula once, with the sentence that holds it, also among many; case and blanks don't count."""
+    n = 300
+    text = " ".join(f"Here $a_{i} = b + {i}$ follows in turn." for i in range(n)) + " Again $A_7 = B + 7$ is named here."
+    rows = ex.formulas(docs(text)).orderBy("position").collect()
+    assert [r.raw for r in rows] == [f"a_{i} = b + {i}" for i in range(n)]
+    assert all(r.context == f"Here $a_{i} = b + {i}$ follows in turn." for i, r in enumerate(rows))
+
+
+def test_formulas_of_odd_texts(docs):
+    assert ex.formulas(docs("", None, "no sign at all here")).count() == 0
