@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions import text as tx
+from scholia.functions import words as wx
 from scholia.operators.extraction import COURSE_CODE
 
 # Fixed values: (category, {term: expansion}), in the order in which they apply.
@@ -83,26 +84,42 @@ def _flags(category: str) -> str:
     return "" if category in KEEP_CASE else "i"
 
 
-def _found(terms: Sequence[Term]) -> Column:
-    """Terms present, once per lower-case form: array<struct(original, expanded, category)>."""
-    hits = [
-        F.when(
-            tx.matches("text", _pattern(t), _flags(c)),
-            F.struct(
-                F.regexp_substr("text", F.lit(tx.rx(_pattern(t), _flags(c)))).alias("original"),
-                F.lit(e).alias("expanded"),
-                F.lit(c).alias("category"),
-            ),
-        )
-        for t, e, c in terms
-    ]
-    return F.array_compact(F.array(*hits))
+def _compiled(pattern: str, flags: str) -> re.Pattern:
+    return re.compile(tx.rx(pattern), re.ASCII | (re.IGNORECASE if flags == "i" else 0))
 
 
-def _unique(hits: Column) -> Column:
-    return F.filter(
-        hits, lambda h, i: ~F.exists(F.slice(hits, 1, i), lambda g: F.lower(g["original"]) == F.lower(h["original"]))
-    )
+#: What a text must hold, in lower case, for each of PHRASE_RULES to be tried.
+PHRASE_CUES = ["sir said", "madam said", "said", "said", "important ca", "ca", "likely exam", "nb", "imp."]
+
+
+def _rewritten(terms: Sequence[Term]) -> Column:
+    """struct(text, expansions): the rewritten text, and the terms of the text, once per lower-case form.
+
+    A rule's pattern is only tried on a text that holds its letters.
+    """
+    rules = [(t.lower(), _compiled(_pattern(t), _flags(c)), e, c) for t, e, c in terms]
+    phrases = [(cue, _compiled(p, f), e) for cue, (p, e, f) in zip(PHRASE_CUES, PHRASE_RULES, strict=True)]
+
+    def rewrite(text: str) -> dict:
+        lowered, found = text.lower(), {}
+        for cue, pattern, expansion, category in rules:
+            hit = pattern.search(text) if cue in lowered else None
+            if hit:
+                found.setdefault(hit.group().lower(), (hit.group(), expansion, category))
+        for cue, pattern, expansion, category in rules:
+            if category != "slang" and cue in lowered:
+                text, n = pattern.subn(lambda m, e=expansion: e, text)
+                lowered = text.lower() if n else lowered
+        for cue, pattern, expansion in phrases:
+            if cue in lowered:
+                text = pattern.sub(lambda m, e=expansion: e, text)
+                lowered = text.lower()
+        return {"text": text, "expansions": [dict(zip(("original", "expanded", "category"), f)) for f in found.values()]}
+
+    return wx.column(rewrite, f"struct<text:string,expansions:{EXPANSIONS}>", "text")
+
+
+EXPANSIONS = "array<struct<original:string,expanded:string,category:string>>"
 
 
 def normalise_local_terms(docs: DataFrame, terms: Sequence[Term] | None = None) -> DataFrame:
@@ -112,22 +129,16 @@ def normalise_local_terms(docs: DataFrame, terms: Sequence[Term] | None = None)
     list, so its rules are part of the plan and nothing is joined.
     """
     terms = list(terms) if terms is not None else default_terms()
-    text = F.col("text")
-    for term, expansion, category in terms:
-        if category != "slang":
-            text = tx.sub(text, _pattern(term), expansion, _flags(category))
-    for pattern, expansion, flags in PHRASE_RULES:
-        text = tx.sub(text, pattern, expansion, flags)
-    marked = docs.select("doc_id", "text", _found(terms).alias("_h")).withColumn("expansions", _unique(F.col("_h")))
+    marked = docs.select("doc_id", "text", _rewritten(terms).alias("_r"))
     codes = tx.find_all("text", COURSE_CODE, 0)
     words = F.greatest(F.size(F.split("text", r"\s+")), F.lit(1))
     n = F.size("expansions") + F.size("course_codes")
     return (
-        marked.withColumn("course_codes", codes)
-        .withColumn("normalised", text)
+        marked.withColumn("expansions", F.coalesce("_r.expansions", F.array().cast(EXPANSIONS)))
+        .withColumn("course_codes", codes)
         .select(
             "doc_id",
-            F.col("normalised").alias("text"),
+            F.col("_r.text").alias("text"),
             "expansions",
             "course_codes",
             F.round(F.greatest(F.lit(0.5), 1 - n / words * 0.1), 6).alias("confidence"),
