@@ -8,15 +8,21 @@ number of needles or of their lengths.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholia.functions import words as wx
 from scholia.session import cut_lineage
 
 #: Gram lengths; a needle uses the longest that it is not shorter than.
 GRAMS = (8, 4, 2, 1)
 #: Code points of a text whose grams are held in memory at a time.
 SLICE = 65_536
+#: Bits of the filter of needle grams (2 MB), and of a part of it.
+BITS, PART = 2**24, 32_768
 
 
 def grams(text: str | Column, size: int) -> Column:
@@ -43,19 +49,60 @@ def text_grams(texts: DataFrame) -> DataFrame:
     return part.select("id", "print", F.explode(F.array_distinct(every)).alias("gram"))
 
 
+def _marks(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Per gram length the filter's place of every gram of a text."""
+    mark = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    for size in reversed(GRAMS):
+        if size > 1:
+            half = size // 2
+            mark = mark[:-half] * np.uint64(0x9E3779B97F4A7C15) + (mark[half:] ^ (mark[half:] >> np.uint64(29)))
+        if not len(mark):
+            return
+        yield size, ((mark + np.uint64(size)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+
+
+def _mark(gram: str) -> int:
+    return int(dict(_marks(gram))[len(gram)][0])
+
+
+def gram_filter(cut: DataFrame) -> np.ndarray:
+    """The bits of all needle grams, summed up in parts; of one size, however many needles there are."""
+    at = cut.select(wx.column(_mark, "bigint", "gram").alias("at"))
+    parts = at.groupBy(F.floor(F.col("at") / PART).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % PART).alias("bits"))
+    held = np.zeros(BITS // 8, np.uint8)
+    for row in parts.collect():
+        held[row.part * PART // 8 : (row.part + 1) * PART // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    return held
+
+
+def possible_grams(texts: DataFrame, held: np.ndarray) -> DataFrame:
+    """(id, print, gram): the distinct grams of a text that pass the filter, and thus all that some needle has."""
+
+    def grams_of(body: str) -> list[str]:
+        out: set[str] = set()
+        for start in range(0, len(body), SLICE):
+            part = body[start : start + SLICE + max(GRAMS) - 1]
+            for size, marks in _marks(part):
+                passed = np.flatnonzero((held[marks >> np.uint64(3)] >> (marks & np.uint64(7)).astype(np.uint8)) & 1)
+                out.update(part[i : i + size] for i in passed.tolist())
+        return list(out)
+
+    return texts.select("id", "print", F.explode(wx.column(grams_of, "array<string>", "body")).alias("gram"))
+
+
 def contained_in(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct pairs (needle, id) where the needle is a part of one of the id's texts.
 
     ``needles`` has the column needle, ``texts`` the columns id and body; an id may have several
     bodies. Empty and null needles, and null or empty bodies, give no pair; a null id is kept as
-    it is. Long needles and bodies are treated whole. Only grams that some needle holds
-    leave the scan's join, and are stored; a gram of many texts is used only by needles all of
+    it is. Long needles and bodies are treated whole. Grams that no needle holds are left out
+    by a filter in the text's row, the few that pass by chance by a join; the rest are stored; a gram of many texts is used only by needles all of
     whose grams are as common.
     """
     wanted = needles.select("needle").where("needle <> ''").distinct()
     bodies = texts.select("id", "body").where("body <> ''").withColumn("print", F.xxhash64("body"))
     cut = cut_lineage(needle_grams(wanted))
-    held = cut_lineage(text_grams(bodies).join(cut.select("gram").distinct(), "gram", "left_semi"))
+    held = cut_lineage(possible_grams(bodies, gram_filter(cut)).join(cut.select("gram").distinct(), "gram", "left_semi"))
     common = held.groupBy("gram").agg(F.count("*").alias("texts"))
     # needle with a gram that no text holds occurs nowhere: it is left without a key
     key = (

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scholia.operators.containment import GRAMS, contained_in, text_grams
+from scholia.operators.containment import GRAMS, contained_in, gram_filter, needle_grams, possible_grams, text_grams
 
 
 def found(spark, needles, texts):
@@ -53,3 +53,14 @@ def test_empty_tables(spark):
     extra = spark.createDataFrame([("a", 1)], "needle string, id int")
     texts = spark.createDataFrame([(1, "cab", "x")], "id bigint, body string, needle string").withColumn("gram", F.lit("g"))
     assert [tuple(r) for r in contained_in(extra, texts).collect()] == [("a", 1)]
+
+
+def test_filter_keeps_what_needles_have(spark):
+    """Only grams of some needle become rows, where every gram of the text was one before."""
+    body = "the quick brown fox 😀 jumps over the lazy dog é" * 50
+    needles = spark.createDataFrame([("fox 😀 jumps",), ("é",), ("zz",), ("the",)], "needle string")
+    cut = needle_grams(needles)
+    texts = spark.createDataFrame([(1, 1, body), (2, 2, "")], "id int, print int, body string")
+    rows = {r.gram for r in possible_grams(texts, gram_filter(cut)).collect()}
+    wanted = {r.gram for r in cut.collect() if r.gram in body}
+    assert wanted <= rows and len(rows) <= len(wanted) + 5 and len(wanted) < 10
