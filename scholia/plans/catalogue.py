@@ -503,7 +503,8 @@ def _(t: Catalog):
 def _(t: Catalog):
     attempts = t.events.where("event_type = 'signup'").select(
         "user_id",
-        (F.col("value").cast("int") % 11).alias("score"),
+        "event_id",
+        (F.floor("value").cast("int") % 11).alias("score"),
         (F.col("event_id") % 6 * 2).cast("int").alias("total"),
     )
     return e.quiz_average(attempts)
